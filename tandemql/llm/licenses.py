@@ -6,6 +6,9 @@ A document's units are its lines, and its paragraphs (between blank lines) of tw
 and a template are normalised alike: lower case, every run of characters other than a-z and 0-9 a space.
 With A and B their sets of bigrams, Dice = 2|A and B| / (|A| + |B|) can reach the threshold t only if
 t/(2-t) |B| <= |A| <= (2-t)/t |B|; these size bounds prune the templates that a unit is compared with.
+They also say how many of the template's bigrams a unit must have at least: of any |B| minus that many plus
+one of them it has one. One pattern of such bigrams leaves out, without a loss, the texts and units that
+can fit no template, before anything is cut into words.
 
 Defined cases: null and empty texts have no units; a unit of fewer than two words matches nothing; of
 templates with the same coefficient the first name by code point wins; repeated rows are scanned each.
@@ -60,6 +63,15 @@ def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     return math.ceil(n * threshold / (2 - threshold) - 1e-9), math.floor(n * (2 - threshold) / threshold + 1e-9)
 
 
+def needed_pattern(known: list[tuple[str, list[str], int, int]]) -> str:
+    """A pattern that every lower-case text which fits a template has: for each, its longest bigrams, as many as are needed."""
+    needed = {g for _, grams, least, _ in known for g in sorted(grams, key=lambda g: (-len(g), g))[: len(grams) - least + 1]}
+    by_first: dict[str, list[str]] = {}
+    for gram in sorted(needed):
+        by_first.setdefault(gram[0], []).append(gram[1:].replace(" ", "[^a-z0-9]+"))
+    return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + ")(?![a-z0-9])"
+
+
 def _units(text: Column) -> Column:
     def numbered(kind: str, parts: Column) -> Column:
         return F.transform(parts, lambda s, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("unit_no"), s.alias("unit")))
@@ -83,10 +95,13 @@ def scan(
     """
     templates = TEMPLATES if templates is None else templates
     known = [(name, grams, *size_bounds(len(grams), threshold)) for name, text in templates if (grams := template_bigrams(text))]
-    least = min((lo for *_, lo, _ in known), default=0)
-    most = max((hi for *_, hi in known), default=-1)
+    if not known:
+        raise ValueError("no template has a bigram")
+    least, most = min(lo for *_, lo, _ in known), max(hi for *_, hi in known)
 
-    cut = common.pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.inline(_units(F.col("text"))))
+    needed = needed_pattern(known)
+    texts = common.pick(docs, doc_id=id_col, text=text_col).where(F.lower("text").rlike(needed))
+    cut = texts.select("doc_id", F.inline(_units(F.col("text")))).where(F.lower("unit").rlike(needed))
     words = F.split(F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")), " ")
     cut = cut.withColumn("_words", words).withColumn("_n", F.size("_words") - 1).where(F.col("_n") >= max(1, least))
     pairs = F.zip_with(F.slice("_words", F.lit(1), F.col("_n")), F.slice("_words", F.lit(2), F.col("_n")), lambda a, b: F.concat(a, F.lit(" "), b))
@@ -97,7 +112,7 @@ def scan(
         dice = F.lit(2.0) * both / (F.col("_size") + len(grams))
         return F.when(F.col("_size").between(lo, hi), F.struct((-dice).alias("less"), F.lit(name).alias("license")))
 
-    best = F.array_min(F.array(*[compared(*k) for k in known])) if known else F.lit(None).cast("struct<less:double,license:string>")
+    best = F.array_min(F.array(*[compared(*k) for k in known]))
     found = cut.withColumn("_best", best).where(F.col("_best.less") <= -threshold + 1e-12)
     return found.select("doc_id", "kind", "unit_no", F.col("_best.license").alias("license"), (-F.col("_best.less")).alias("dice"), "unit")
 
