@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemql.llm import chat, langid, licenses, mixing, neardup, secrets, topk, urls
+from tandemql.llm import chat, decontam, langid, licenses, mixing, neardup, secrets, tokens, topk, urls
 from tandemql.llm.common import read
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
@@ -20,6 +21,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -47,6 +52,10 @@ def op7_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_embeddings(read(spark, sf_dir, "embeddings"))
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode_and_read(read(spark, sf_dir, "documents"), public_tokenizers.path(tokens.TOKENIZER))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -58,10 +67,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_near_dedup": op2_near_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_secret_scan": op4_secret_scan,
     "op5_language_id": op5_language_id,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_top_k_search": op7_top_k_search,
+    "op8_token_output": op8_token_output,
     "op9_license_scan": op9_license_scan,
     "op10_url_filter": op10_url_filter,
 }
