@@ -7,10 +7,11 @@ independent hashes, and a text with many shingles needs few steps: once all slot
 later steps can't lower any (early stopping).
 
 Documents of equal sets are one class, with their least id for a name; only classes go on. The signature's
-bands deal classes to buckets. Pairs to verify are, in each bucket, every member with the least one (a
-star); then, where a bucket's members are not yet one component, the pairs across components, dealt by
-blocks of the bucket so that no task gets a large bucket whole. Each pair is confirmed on the full sets.
-No pair that shares a bucket is left out but those already known to be of one component.
+bands deal classes to buckets. Pairs to verify are, in each bucket, every member with its leader, the least
+one (a star); then, where a bucket's members are not yet one component, the pairs across components that
+exact bounds on the overlap allow, dealt by blocks of the bucket so that no task gets a large bucket whole.
+Each pair is confirmed on the full sets. No pair that shares a bucket is left out but those already known
+to be of one component and those that the bounds prove dissimilar.
 
 With 32 bands of 5, a pair of similarity 0.8 shares no bucket with a probability of 3 in a million.
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandemql.llm.common import materialise, pick
@@ -142,43 +143,75 @@ def _sets(k: int):
     return run
 
 
-def _confirm(percent: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            a, b = part.column(0), part.column(1)
-            keep = []
-            for x, y in zip(part.column(2), part.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
-
-    return run
+def _overlap(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        both, na, nb = [], [], []
+        for x, y in zip(part.column(2), part.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+            both.append(np.intersect1d(x, y, assume_unique=True).size)
+            na.append(len(x))
+            nb.append(len(y))
+        cols = [part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in (both, na, nb))]
+        yield pa.RecordBatch.from_arrays(cols, names=["a", "b", "both", "na", "nb"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of ids those whose full sets are similar enough, written to the shared folder."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialise(texts.join(ids, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, elements binary"), "sets")
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ids with the sizes of their sets and of what these share, written to the shared folder."""
     one = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     two = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
     joined = pairs.join(one, "b").join(two, "a").select("a", "b", "ea", "eb")
-    return materialise(joined.mapInArrow(_confirm(percent), "a long, b long"), "links")
-
-
-def _across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components, by blocks; sizes that can't reach the similarity are left out."""
-    named = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
-    named = materialise(named.withColumn("component", F.coalesce("component", "id")), "members")
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"))
-    mixed = mixed.where("lo < hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = rows.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
-    right = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), "own")).alias("i"))
-    fits = (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = left.join(right, ["key", "i", "j"]).where(fits & ((F.col("i") != F.col("j")) | (F.col("a") < F.col("b"))))
+    return materialise(joined.mapInArrow(_overlap, "a long, b long, both long, na long, nb long"), "overlaps")
+
+
+def _similar(percent: int, both: Column, na: Column, nb: Column) -> Column:
+    return (both > 0) & (100 * both >= percent * (na + nb - both))
+
+
+def _explode_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for doc_id, raw in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+            own = np.frombuffer(raw.as_buffer(), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc_id)), pa.array(own)], names=["id", "element"])
+
+
+def _unshared(sets: DataFrame) -> DataFrame:
+    """(id, unshared): how many of a document's shingles no other one in ``sets`` has."""
+    spread = sets.mapInArrow(_explode_sets, "id long, element long")
+    once = spread.groupBy("element").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    return once.groupBy("id").agg(F.count(F.lit(1)).alias("unshared"))
+
+
+def _across(members: DataFrame, labels: DataFrame, stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a bucket, are not of one component yet, and can still be similar.
+
+    Each bucket's rows know the set size n, the overlap o with the bucket's leader, and the shingles u that no
+    other candidate has. Two sets share at most min(oa, ob) of the leader's shingles and
+    min(na - oa - ua, nb - ob - ub) others; pairs for which that is too little are never made. One side is
+    the bucket's rows outside its largest component; the other, all rows, is dealt by blocks.
+    """
+    named = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = materialise(named, "members")
+    per = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    per = per.groupBy("key").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("largest"), F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("c"))
+    mixed = materialise(per.where("kinds > 1").select("key", "largest", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = named.join(mixed, "key")
+    alone = _unshared(sets.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    led = stars.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.col("both").alias("o"))
+    rows = rows.join(led, ["leader", "id"], "left").join(alone, "id", "left")
+    leads = F.col("id") == F.col("leader")
+    rows = materialise(
+        rows.select(
+            "key", "id", "n", "component", "largest", "blocks",
+            F.when(leads, F.col("n")).otherwise(F.col("o")).alias("o"),
+            F.when(leads, F.lit(0).cast("long")).otherwise(F.coalesce("unshared", F.lit(0).cast("long"))).alias("u"),
+        ),
+        "rows",
+    )
+    out = rows.where("component <> largest").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa"), F.col("u").alias("ua"), F.col("component").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    every = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("u").alias("ub"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    most = F.least("oa", "ob") + F.least(F.expr("na - oa - ua"), F.expr("nb - ob - ub"))
+    able = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & _similar(percent, most, F.col("na"), F.col("nb"))
+    pairs = out.join(every, on=(out["key"] == every["key"]) & (out["block"] == every["block"]) & able)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -195,12 +228,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = materialise(classes, "classes")
     dealt = classes.select("id", "n", F.explode("bands").alias("key"))
     shared = materialise(dealt.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "buckets")
-    members = materialise(dealt.join(shared, "key"), "dealt")
+    members = materialise(dealt.join(shared, "key").select("key", "id", "n", "leader"), "dealt")
+    asked = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = materialise(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, elements binary"), "sets")
     star = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = verify(star, texts, k, percent)
+    stars = overlaps(star, sets)
+    similar = _similar(percent, F.col("both"), F.col("na"), F.col("nb"))
+    links = stars.where(similar).select("a", "b")
     labels = components(links)
-    cross = _across(members.select("key", "id", "n").distinct(), labels, percent).join(star, ["a", "b"], "left_anti")
-    more = verify(cross, texts, k, percent)
+    cross = _across(members, labels, stars, sets, percent).join(stars.select("a", "b"), ["a", "b"], "left_anti")
+    more = overlaps(cross, sets).where(similar).select("a", "b")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left")
