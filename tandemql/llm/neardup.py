@@ -198,20 +198,23 @@ def _across(members: DataFrame, labels: DataFrame, stars: DataFrame, sets: DataF
     alone = _unshared(sets.join(rows.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     led = stars.select(F.col("a").alias("leader"), F.col("b").alias("id"), F.col("both").alias("o"))
     rows = rows.join(led, ["leader", "id"], "left").join(alone, "id", "left")
+    shared = named.join(mixed.select("key"), "key").groupBy("id").agg(F.collect_list("key").alias("keys"))  # one a band at most
+    rows = rows.join(shared, "id")
     leads = F.col("id") == F.col("leader")
     rows = materialise(
         rows.select(
-            "key", "id", "n", "component", "largest", "blocks",
+            "key", "id", "n", "component", "largest", "blocks", "keys",
             F.when(leads, F.col("n")).otherwise(F.col("o")).alias("o"),
             F.when(leads, F.lit(0).cast("long")).otherwise(F.coalesce("unshared", F.lit(0).cast("long"))).alias("u"),
         ),
         "rows",
     )
-    out = rows.where("component <> largest").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa"), F.col("u").alias("ua"), F.col("component").alias("ca"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    every = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("u").alias("ub"), F.col("component").alias("cb"), (F.col("component") == F.col("largest")).alias("main"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
+    out = rows.where("component <> largest").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("o").alias("oa"), F.col("u").alias("ua"), F.col("component").alias("ca"), F.col("keys").alias("ka"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    every = rows.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("u").alias("ub"), F.col("component").alias("cb"), F.col("keys").alias("kb"), (F.col("component") == F.col("largest")).alias("main"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"))
     most = F.least("oa", "ob") + F.least(F.expr("na - oa - ua"), F.expr("nb - ob - ub"))
     able = (F.col("ca") != F.col("cb")) & (F.col("main") | (F.col("a") < F.col("b"))) & _similar(percent, most, F.col("na"), F.col("nb"))
-    pairs = out.join(every, on=(out["key"] == every["key"]) & (out["block"] == every["block"]) & able)
+    first = out["key"] == F.array_min(F.array_intersect("ka", "kb"))  # of the buckets that both are in, one makes the pair
+    pairs = out.join(every, on=(out["key"] == every["key"]) & (out["block"] == every["block"]) & able & first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
