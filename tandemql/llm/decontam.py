@@ -1,16 +1,17 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched by block-max WAND for every passage.
 
-Test items are split at white space, lower-cased (A-Z), without leading and trailing punctuation. An item's
-sentences but the last are its question, the last its answer; an item of one sentence is a question whose
-second half is the answer. Terms have postings of (item, BM25 weight), ordered by item and cut into blocks
-of BLOCK, each with its greatest weight; the term has the greatest of all.
-
-Every document is cut into passages of PASSAGE words, the next beginning STRIDE words on, to its end. A
-passage asks for all items that score at least ``theta`` of the score that the item gets from itself. First,
-for all passages at once, the sums of their distinct terms' greatest weights are compared with the least
-score that any item needs; WAND then works on the passages that are left: it orders the cursors by item,
-finds the pivot where the greatest weights first reach the least score needed, tries the blocks' greatest
-weights there, and skips or scores.
+Test items are split at white space and lower-cased (A-Z). An item's sentences but the last are its
+question, the last its answer; of an item of one sentence the second half is the answer. Items are numbered
+by the score that they need, and terms have postings of (item, BM25 weight) in that order. Postings are cut
+at every BLOCK items, alike for all terms; a term has its greatest weight of each block, and of all.
+
+Every document is cut into passages of PASSAGE words, the next beginning STRIDE words on, to its end. A run of
+PASSAGE - STRIDE words is whole in some passage, and of a longer item at least SURE words are, so an item needs
+``theta`` of the least score that SURE of its words in a row get. First, for all passages of a batch at once,
+the sum of the distinct terms' greatest weights is held against the least score that any item needs; for
+those that pass, the sums of the blocks' greatest weights against what the block's items need. In the blocks that
+are left WAND orders the cursors by item, finds the pivot where the greatest weights first reach the least
+score needed, and skips to it or scores.
 
 An item that is retrieved is verified on the document's words around the passage, as far as the item is
 long: if these have OVERLAP of the 5-word shingles (all words as one, if fewer) of the question and of the
@@ -39,14 +40,15 @@ from pyspark.sql import functions as F
 from tandemql.llm.common import pick
 from tandemql.llm.shingles import batches, hash_words, mix
 
-PASSAGE, STRIDE = 64, 32
+STRIDE = 32
+PASSAGE = 2 * STRIDE
+SURE = PASSAGE - STRIDE // 2
 K1, B = 1.2, 0.75
-#: Share of an item's own score that a passage needs. A stride holds half of a long item, so this stays low.
-THETA = 0.35
+THETA = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 8
-MAX_ITEMS, MAX_ITEM_WORDS = 20_000, 2_000_000
+MAX_ITEMS, MAX_ITEM_WORDS = 1024, 100_000
 
 _U = np.uint64
 
@@ -77,15 +79,17 @@ def _runs(words: np.ndarray, k: int) -> np.ndarray:
 class Index:
     ids: list[int]
     words: list[np.ndarray]  # of each item, as hashes
-    cuts: list[int]  # words of the question
     terms: np.ndarray  # sorted hashes
     greatest: np.ndarray  # of each term
+    block_max: np.ndarray  # of each term and block of items
     postings: list[tuple[np.ndarray, np.ndarray]]  # of each term: items, weights
-    block_max: list[np.ndarray]
-    needed: np.ndarray  # score that each item asks of a passage
-    least: float = 0.0
+    needed: np.ndarray  # score that each item asks of a passage, ascending
     parts: list[list[tuple[int, np.ndarray]]] = field(default_factory=list)  # of each item: (shingle words, distinct shingles) of question, answer, all
 
+    @property
+    def least(self) -> float:
+        return float(self.needed[0]) if len(self.needed) else math.inf
+
 
 def build_index(items: list[tuple[int, str]], *, theta: float = THETA, df: dict[int, int] | None = None, total: int | None = None, mean: float | None = None) -> Index:
     """``df``, ``total`` and ``mean``: statistics of all items, where ``items`` is a part of them."""
@@ -95,21 +99,32 @@ def build_index(items: list[tuple[int, str]], *, theta: float = THETA, df: dict[
     if df is None:
         df = document_frequencies(own)
         total, mean = len(own), float(np.mean([len(w) for w in own])) if own else 1.0
-    gathered: dict[int, list[tuple[int, float]]] = {}
+    weighed: list[dict[int, float]] = []
     needed = np.zeros(len(own))
     for i, w in enumerate(own):
         keys, counts = np.unique(w, return_counts=True)
+        told = {}
         for key, tf in zip(keys.tolist(), counts.tolist(), strict=True):
             idf = math.log(1 + (total - df[key] + 0.5) / (df[key] + 0.5))
-            weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-            gathered.setdefault(key, []).append((i, weight))
-            needed[i] += theta * weight
+            told[key] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
+        weighed.append(told)
+        flat = w.tolist()
+        needed[i] = theta * min(sum(told[k] for k in set(flat[j : j + SURE])) for j in range(max(1, len(flat) - SURE + 1)))
+    order = np.argsort(needed, kind="stable").tolist()
+    gathered: dict[int, list[tuple[int, float]]] = {}
+    for number, i in enumerate(order):
+        for key, weight in weighed[i].items():
+            gathered.setdefault(key, []).append((number, weight))
     terms = np.array(sorted(gathered), dtype=np.uint64)
     postings = [tuple(map(np.array, zip(*gathered[t], strict=True))) for t in terms.tolist()]
-    block_max = [np.array([w[i : i + BLOCK].max() for i in range(0, len(w), BLOCK)]) for _, w in postings]
-    index = Index([i for i, _ in items], own, [question_and_answer(t)[0] for _, t in items], terms, np.array([w.max() for _, w in postings]), postings, block_max, needed)
-    index.least = float(needed.min()) if len(needed) else math.inf
-    for w, cut in zip(own, index.cuts, strict=True):
+    block_max = np.zeros((len(terms), -(-len(own) // BLOCK)), dtype=np.float32)
+    for row, (numbers, weights) in zip(block_max, postings, strict=True):
+        np.maximum.at(row, numbers // BLOCK, weights.astype(np.float32))
+    greatest = block_max.max(axis=1) if len(terms) else np.zeros(0, np.float32)
+    index = Index([items[i][0] for i in order], [own[i] for i in order], terms, greatest, block_max, postings, needed[order])
+    for i in order:
+        cut = question_and_answer(items[i][1])[0]
+        w = own[i]
         index.parts.append([(max(1, min(SHINGLE, len(p))), np.unique(_runs(p, SHINGLE))) for p in (w[:cut], w[cut:], w)])
     return index
 
@@ -119,58 +134,37 @@ def document_frequencies(own: list[np.ndarray]) -> dict[int, int]:
     return dict(zip(map(int, keys), map(int, counts), strict=True))
 
 
-def wand(index: Index, terms: list[int]) -> list[tuple[int, float]]:
-    """All (item, score) whose score for the distinct ``terms`` (rows of the index) is at least what the item needs."""
+def wand(index: Index, terms: list[int], block: int) -> list[tuple[int, float]]:
+    """All (item, score) of a block whose score for the distinct ``terms`` (rows of the index) is at least what the item needs."""
+    first, end = block * BLOCK, min((block + 1) * BLOCK, len(index.ids))
+    least = float(index.needed[first])  # of the block's items, the first needs least
+    cursors = []
+    for t in terms:
+        if (most := float(index.block_max[t, block])) > 0:
+            items, weights = index.postings[t]
+            a, b = np.searchsorted(items, (first, end))
+            cursors.append([items[a:b].tolist(), weights[a:b].tolist(), most, 0])
     found = []
-    cursors = [[int(index.postings[t][0][0]), t, 0] for t in terms]  # item, term, place
-    end = len(index.ids)
-
-    def forward(cursor: list[int], item: int) -> None:
-        items = index.postings[cursor[1]][0]
-        cursor[2] = int(np.searchsorted(items, item)) if item < end else len(items)
-        cursor[0] = int(items[cursor[2]]) if cursor[2] < len(items) else end
-
+    item_at = lambda c: c[0][c[3]] if c[3] < len(c[0]) else end
     while True:
-        cursors.sort()
+        cursors = sorted((c for c in cursors if c[3] < len(c[0])), key=item_at)
         total, pivot = 0.0, -1
-        for i, (item, term, _) in enumerate(cursors):
-            if item == end:
-                break
-            total += index.greatest[term]
-            if total >= index.least:
-                pivot = i
+        for i, c in enumerate(cursors):
+            total += c[2]
+            if total >= least - 1e-3:
+                pivot = item_at(c)
                 break
         if pivot < 0:
             return found
-        item = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
-            pivot += 1
-        shallow, block_end = 0.0, end
-        for _, term, place in cursors[: pivot + 1]:
-            items = index.postings[term][0]
-            at = place + int(np.searchsorted(items[place:], item))
-            if at < len(items):
-                shallow += index.block_max[term][at // BLOCK]
-                last = min(len(items), (at // BLOCK + 1) * BLOCK) - 1
-                block_end = min(block_end, int(items[last]) + 1)
-        if shallow >= index.least:
-            score = 0.0
-            for cursor in cursors[: pivot + 1]:
-                if cursor[0] < item:
-                    forward(cursor, item)
-                if cursor[0] == item:
-                    score += index.postings[cursor[1]][1][cursor[2]]
-            if score >= index.needed[item] - 1e-9:
-                found.append((item, float(score)))
-            for cursor in cursors[: pivot + 1]:
-                if cursor[0] == item:
-                    forward(cursor, item + 1)
-        else:
-            # No item before the next block's start, or the next cursor's item, can reach the least score.
-            after = cursors[pivot + 1][0] if pivot + 1 < len(cursors) else end
-            to = max(item + 1, min(block_end, after))
-            for cursor in cursors[: pivot + 1]:
-                forward(cursor, to)
+        score = 0.0
+        for c in cursors:
+            while item_at(c) < pivot:
+                c[3] += 1
+            if item_at(c) == pivot:
+                score += c[1][c[3]]
+                c[3] += 1
+        if score >= index.needed[pivot] - 1e-6:
+            found.append((pivot, score))
 
 
 def overlaps(index: Index, item: int, words: np.ndarray) -> tuple[float, float, float]:
@@ -187,29 +181,66 @@ def overlaps(index: Index, item: int, words: np.ndarray) -> tuple[float, float,
     return tuple(out)
 
 
-def search_document(index: Index, words: np.ndarray) -> dict[int, tuple[float, float, float, float, int]]:
-    """Contaminating items of one document's words: item to (score, question, answer, whole, first word of the best passage)."""
-    out: dict[int, tuple[float, float, float, float, int]] = {}
+def _summed(gains: np.ndarray, stride: np.ndarray, total: int) -> np.ndarray:
+    """Sums of the rows of ``gains`` by ``stride``, which ascends."""
+    out = np.zeros((total, gains.shape[1]), dtype=np.float32)
+    if len(stride):
+        begin = np.flatnonzero(np.concatenate([[True], stride[1:] != stride[:-1]]))
+        out[stride[begin]] = np.add.reduceat(gains, begin, axis=0)
+    return out
+
+
+def able_passages(index: Index, rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, first word in it, block) of the passages whose distinct terms can reach what the block's items need.
+
+    ``rows``: each word's row in the index or -1; ``at``: where each document's words begin, and the end. A
+    passage is two strides, so a word counts for the one that begins with its stride, unless its term came
+    before in that, and for the one a stride earlier, unless it came before in either.
+    """
+    sizes = np.diff(at)
+    strides = -(-sizes // STRIDE)
+    first = np.concatenate([[0], np.cumsum(strides)])
+    known = np.flatnonzero(rows >= 0)
+    doc = np.searchsorted(at, known, side="right") - 1
+    stride = first[doc] + (known - at[doc]) // STRIDE
+    key = doc * len(index.terms) + rows[known]
+    order = np.argsort(key, kind="stable")
+    before = np.full(len(known), -1)
+    same = key[order][1:] == key[order][:-1]
+    before[order[1:][same]] = stride[order[:-1][same]]
+    here = before < stride
+    back = (before < stride - 1) & (stride > first[doc])
+    greatest = np.bincount(stride[here], index.greatest[rows[known[here]]], minlength=first[-1])
+    greatest += np.bincount(stride[back] - 1, index.greatest[rows[known[back]]], minlength=first[-1])
+    owner = np.searchsorted(first, np.arange(first[-1]), side="right") - 1
+    number = np.arange(first[-1]) - first[owner]
+    begins = (number == 0) | (number < strides[owner] - 1)  # the last stride is in the passage before
+    able = begins & (greatest >= index.least - 1e-2)
+    here &= able[stride]
+    back &= able[np.maximum(stride - 1, 0)]
+    sums = _summed(index.block_max[rows[known[here]]], stride[here], first[-1])
+    sums += _summed(index.block_max[rows[known[back]]], stride[back] - 1, first[-1])
+    passage, block = np.nonzero(sums >= index.needed[::BLOCK] - 1e-2)
+    return owner[passage], number[passage] * STRIDE, block
+
+
+def search_batch(index: Index, words: np.ndarray, at: np.ndarray) -> dict[int, dict[int, tuple[float, float, float, float, int]]]:
+    """Contaminated documents of a batch, each as item to (score, question, answer, whole, first word of the best passage)."""
+    out: dict[int, dict[int, tuple[float, float, float, float, int]]] = {}
     if not len(words) or not len(index.terms):
         return out
     rows = np.searchsorted(index.terms, words)
     rows[rows == len(index.terms)] = 0
-    known = index.terms[rows] == words
-    gain = np.where(known, index.greatest[rows], 0.0)
-    # The sum over a passage's words is no less than that over its distinct terms.
-    sums = np.concatenate([[0.0], np.cumsum(gain)])
-    starts = np.arange(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE)
-    ends = np.minimum(starts + PASSAGE, len(words))
-    able = sums[ends] - sums[starts] >= index.least - 1e-9
-    for a, b in zip(starts[able].tolist(), ends[able].tolist(), strict=True):
-        terms = np.unique(rows[a:b][known[a:b]])
-        if index.greatest[terms].sum() < index.least:
-            continue
-        for item, score in wand(index, terms.tolist()):
+    rows[index.terms[rows] != words] = -1
+    for doc, a, block in zip(*(x.tolist() for x in able_passages(index, rows, at)), strict=True):
+        terms = np.unique(rows[at[doc] + a : min(at[doc] + a + PASSAGE, at[doc + 1])])
+        for item, score in wand(index, terms[terms >= 0].tolist(), block):
             size = len(index.words[item])
-            question, answer, whole = overlaps(index, item, words[max(0, a - size) : b + size])
-            if (min(question, answer) >= OVERLAP or whole >= OVERLAP) and (item not in out or score > out[item][0]):
-                out[item] = (score, question, answer, whole, int(a))
+            own = words[at[doc] : at[doc + 1]]
+            question, answer, whole = overlaps(index, item, own[max(0, a - size) : a + PASSAGE + size])
+            mine = out.get(doc, {})
+            if (min(question, answer) >= OVERLAP or whole >= OVERLAP) and (item not in mine or score > mine[item][0]):
+                out.setdefault(doc, {})[item] = (score, question, answer, whole, a)
     return out
 
 
@@ -224,9 +255,8 @@ def _searching(index: Index):
             rows: list[tuple] = []
             for raw in batches(part.column(1).to_pylist()):
                 words, at = hash_words(raw)
-                for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                    for item, told in search_document(index, words[a:b]).items():
-                        rows.append((ids[done + i], index.ids[item], *told))
+                for i, items in sorted(search_batch(index, words, at).items()):
+                    rows += [(ids[done + i], index.ids[item], *told) for item, told in sorted(items.items())]
                 done += len(raw)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             types = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
@@ -274,7 +304,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                 clean = []
                 for raw in batches(part.column(at).to_pylist()):
                     words, offsets = hash_words(raw)
-                    clean += [not search_document(index, words[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                    found = search_batch(index, words, offsets)
+                    clean += [i not in found for i in range(len(raw))]
                 if clean:
                     yield part.filter(pa.array(clean))
 
