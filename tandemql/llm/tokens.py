@@ -25,6 +25,7 @@ are ordered by text length and digest; an empty table gives files without rows.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -43,8 +44,8 @@ SHARD_IDS = 1 << 18
 PAIRS_A_ROUND = 1024
 LEAST_COUNT = 8
 ROUNDS = 6
-#: Pieces of text whose ids a worker remembers; beyond that new ones are encoded each time.
-REMEMBERED = 300_000
+#: Texts that are encoded at a time.
+TEXTS = 64
 
 SHARD = (
     "part int, shard int, before long, n_ids long, first int, wide int, rules binary, lengths binary, "
@@ -172,24 +173,13 @@ _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library.
-
-    A byte-level BPE without normaliser cuts a text into pieces by a fixed pattern and encodes each alone, so
-    a worker remembers the ids of pieces. Texts with characters on which regular-expression engines may
-    differ, or with an added token in them, go to the library whole.
-    """
+    """Whole texts to ids by the tokenizers library; a worker loads a vocabulary once."""
 
     def __init__(self, path: str):
-        import regex
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        # Fixed value: the piece pattern of this kind of tokenizer.
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.odd = regex.compile(r"[^\x20-\x7E\n\r\tÀ-ÖØ-öø-ſ]|<\|").search
-        plain = str(self.whole.pre_tokenizer).replace(" ", "") == "ByteLevel(add_prefix_space=False,trim_offsets=True,use_regex=True)"
-        self.by_piece = plain and self.whole.normalizer is None
-        self.known: dict[str, np.ndarray] = {}
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
@@ -197,23 +187,10 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self.by_piece or self.odd(t)]
-        for i, e in zip(odd, self.whole.encode_batch_fast([texts[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        cut = [(i, self.pieces(t)) for i, t in enumerate(texts) if out[i] is None]
-        known = self.known
-        new = sorted({p for _, ps in cut for p in ps if p not in known})
-        fresh = dict(zip(new, (e.ids for e in self.whole.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-            for i, ps in cut:
-                out[i] = [x for p in ps for x in known[p]]
-        else:
-            for i, ps in cut:
-                out[i] = [x for p in ps for x in (known.get(p) or fresh[p])]
-        return out
+    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        """Each text's ids and the end id."""
+        encoded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array([*e.ids, end_id], dtype=np.uint32) for e in encoded]
 
 
 def _shards(path: str, end_id: int):
@@ -239,10 +216,9 @@ def _shards(path: str, end_id: int):
 
         for batch in parts:
             own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                for doc_id, tokens in zip(own[i : i + 256], encoder.encode([t or "" for t in texts[i : i + 256]]), strict=True):
-                    tokens.append(end_id)
-                    docs.append(np.array(tokens, dtype=np.uint32))
+            for i in range(0, len(texts), TEXTS):
+                for doc_id, tokens in zip(own[i : i + TEXTS], encoder.encode([t or "" for t in texts[i : i + TEXTS]], end_id), strict=True):
+                    docs.append(tokens)
                     ids.append(doc_id)
                     size += len(tokens)
                     if size >= SHARD_IDS:
