@@ -43,6 +43,8 @@ EVIDENCE = 60
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 1.5
 UNKNOWN = "und"
+#: Characters of text that are scored at a time.
+CHARACTERS = 1 << 19
 
 _U = np.uint64
 _PLANE = 0x10000
@@ -145,28 +147,36 @@ class Model:
         return at
 
     def entropies(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits by character for each text and language, and which texts have letters."""
+        """Bits by character for each text and language, and which texts have letters. Works on CHARACTERS at a time."""
         chars, at = characters(texts)
-        total = len(chars)
+        sums = np.zeros((len(texts), len(self.langs)))
         lettered = np.add.reduceat((chars != 0x20).astype(np.int64), at[:-1]) > 0
-        bits = np.zeros((total, len(self.langs)), dtype=np.float32)
-        place = np.arange(total) - np.repeat(at[:-1], np.diff(at))
+        for low in range(0, len(chars), CHARACTERS):
+            high = min(len(chars), low + CHARACTERS)
+            owner = np.searchsorted(at, np.arange(low, high), side="right") - 1
+            bits = self._bits(chars[max(0, low - ORDER + 1) : high], np.arange(low, high) - at[owner], min(low, ORDER - 1))
+            begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            sums[owner[begin]] -= np.add.reduceat(bits, begin, axis=0, dtype=np.float64)
+        return sums / np.maximum(1, np.diff(at) - 1)[:, None], lettered
+
+    def _bits(self, chars: np.ndarray, place: np.ndarray, skip: int) -> np.ndarray:
+        """Log probabilities of the characters from ``skip`` on, whose places in their texts are given."""
+        bits = np.zeros((len(place), len(self.langs)), dtype=np.float32)
         todo = np.flatnonzero(place > 0)  # the first space is only context
         for n in range(ORDER, 0, -1):
             grams, deep = gram_hashes(chars, n), place[todo] >= n - 1
             rows = np.full(len(todo), -1)
-            rows[deep] = self._rows(grams[todo[deep] - n + 1])
+            rows[deep] = self._rows(grams[todo[deep] + skip - n + 1])
             known = rows >= 0
             bits[todo[known]] += self.logp[rows[known]]
             todo, deep = todo[~known], deep[~known]
             if n > 1 and len(todo):
                 contexts = np.full(len(todo), -1)
-                contexts[deep] = self._rows(gram_hashes(chars, n - 1)[todo[deep] - n + 1])
+                contexts[deep] = self._rows(gram_hashes(chars, n - 1)[todo[deep] + skip - n + 1])
                 had = contexts >= 0
                 bits[todo[had]] += self.backoff[contexts[had]]
         bits[todo] += self.logp[-1]  # a character that no language has
-        sums = np.add.reduceat(bits, at[:-1], axis=0, dtype=np.float64)
-        return -sums / np.maximum(1, np.diff(at) - 1)[:, None], lettered
+        return bits
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, bits by character of that language, and rejection of each text."""
@@ -255,21 +265,25 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
 JUDGED = "doc_id long, lang_pred string, score double, bits double, rejected boolean"
 
 
-def _judging(model: Model, chars_at_a_time: int = 1 << 20):
+def _judged(model: Model, texts: list[str | None]) -> Iterator[tuple[int, int, tuple]]:
+    """(from, to, judgement) of runs of the texts of about CHARACTERS each, so that a batch's size doesn't matter."""
+    done = 0
+    while done < len(texts):
+        end, size = done, 0
+        while end < len(texts) and (end == done or size + len(texts[end] or "") <= CHARACTERS):
+            size += len(texts[end] or "")
+            end += 1
+        yield done, end, model.judge(texts[done:end])
+        done = end
+
+
+def _judging(model: Model):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column(1).to_pylist()
-            done = 0
-            while done < len(texts):
-                end, size = done, 0
-                while end < len(texts) and (end == done or size + len(texts[end] or "") <= chars_at_a_time):
-                    size += len(texts[end] or "")
-                    end += 1
-                langs, score, bits, rejected = model.judge(texts[done:end])
-                ids = part.column(0).slice(done, end - done).cast(pa.int64())
+            for a, b, (langs, score, bits, rejected) in _judged(model, part.column(1).to_pylist()):
+                ids = part.column(0).slice(a, b - a).cast(pa.int64())
                 cols = [ids, pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "lang_pred", "score", "bits", "rejected"])
-                done = end
 
     return run
 
@@ -286,7 +300,7 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            if part.num_rows:
-                yield part.filter(pa.array(~model.judge(part.column(at).to_pylist())[3]))
+            for a, b, (*_, rejected) in _judged(model, part.column(at).to_pylist()):
+                yield part.slice(a, b - a).filter(pa.array(~rejected))
 
     return docs.mapInArrow(run, schema)
