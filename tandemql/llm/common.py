@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tandemql.storage import materialise
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,6 +17,9 @@ BROADCAST_ROWS = 100_000
 
 SALTS = 32
 
+#: Rows of a batch that Python works on.
+BATCH_ROWS = 1000
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -54,25 +57,12 @@ def unpack_row(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame
     return df.select(*[replaced.get(c, F.col(f"row._c{i}")).alias(c) for i, c in enumerate(names)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one only where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/tandemql-{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Cuts the lineage, so later stages survive lost executors without recomputing what
-    came before, and a value that is read twice is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tandemql/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow`` with small batches: rows hold whole texts, of which a batch of the default size is too many."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:

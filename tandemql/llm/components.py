@@ -43,7 +43,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame) -> DataFrame:
     """Links (a, b) of longs to (node, component): a row per linked node, with its component's least id."""
-    edges = materialise(links.mapInArrow(_forest, "a long, b long"), "forest")
+    edges = materialise(map_arrow(links, _forest, "a long, b long"), "forest")
     labels: DataFrame | None = None
     rounds = 0
     while not edges.isEmpty():
@@ -61,7 +61,7 @@ def components(links: DataFrame) -> DataFrame:
             labels = materialise(labels.join(step, "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
         pa_, pb = (parents.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab")
         moved = edges.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
-        edges = materialise(moved.mapInArrow(_forest, "a long, b long"), "forest")
+        edges = materialise(map_arrow(moved, _forest, "a long, b long"), "forest")
         rounds += 1
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -17,8 +17,8 @@ An item that is retrieved is verified on the document's words around the passage
 long: if these have OVERLAP of the 5-word shingles (all words as one, if fewer) of the question and of the
 answer, or of the whole item, the document is contaminated.
 
-The index is broadcast; it may hold MAX_ITEMS items and MAX_ITEM_WORDS words, above which the items are
-searched in several passes, each with an index of its own part; statistics (document frequency, mean
+The index is broadcast. A benchmark of more than MAX_ITEMS items or MAX_ITEM_WORDS words is dealt by hash to
+parts of half of that, each searched in a pass of its own; statistics (document frequency, mean
 length) are those of all items.
 
 Defined cases: null and empty texts have no passages; null or empty items can't be found; repeated items
@@ -265,11 +265,16 @@ def _searching(index: Index):
     return run
 
 
+def _items(benchmark: DataFrame) -> DataFrame:
+    """The items that can be found: with an id and a word."""
+    return pick(benchmark, item_id="item_id", text="text").where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+
+
 def _indexes(items: DataFrame, theta: float) -> Iterator[Index]:
     """Indexes of all items, in parts within the bound; an ordinary benchmark is one part."""
     n, size = items.agg(F.count(F.lit(1)), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
-    parts = max(1, math.ceil(n / MAX_ITEMS), math.ceil((size or 0) / MAX_ITEM_WORDS))
-    if parts == 1:
+    parts = 2 * max(math.ceil(n / MAX_ITEMS), math.ceil((size or 0) / MAX_ITEM_WORDS))
+    if parts <= 2:
         yield build_index([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()], theta=theta)
         return
     word = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), " ")))
@@ -285,10 +290,10 @@ def _indexes(items: DataFrame, theta: float) -> Iterator[Index]:
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA) -> DataFrame:
     """A row per document and item that it holds: doc_id, item_id, score, question, answer, whole, at_word. No shuffle."""
     texts = pick(docs, doc_id=id_col, text=text_col)
-    items = pick(benchmark, item_id="item_id", text="text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = _items(benchmark)
     found = None
     for index in _indexes(items, theta):
-        one = texts.mapInArrow(_searching(index), FOUND)
+        one = map_arrow(texts, _searching(index), FOUND)
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -296,7 +301,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", theta: float = THETA) -> DataFrame:
     """``docs`` without the documents that hold a test item, in one pass over whole rows for each part of the index."""
     at = docs.columns.index(text_col)
-    items = pick(benchmark, item_id="item_id", text="text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = _items(benchmark)
 
     def keeping(index: Index):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,5 +317,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
         return run
 
     for index in _indexes(items, theta):
-        docs = docs.mapInArrow(keeping(index), docs.schema)
+        docs = map_arrow(docs, keeping(index), docs.schema)
     return docs

@@ -248,7 +248,7 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / c))).otherwise(share)
     draw = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_003)) / 1_000_003
     sample = rows.where(draw < share)
-    counted = sample.select("lang", "text").mapInArrow(_count, COUNTED)
+    counted = map_arrow(sample.select("lang", "text"), _count, COUNTED)
     table = counted.groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("seen").alias("seen")).toPandas()
     counts: dict = {}
     for (lang, n), g in table.groupby(["lang", "n"]):
@@ -290,7 +290,7 @@ def _judging(model: Model):
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: doc_id, lang_pred, score, bits, rejected. No shuffle."""
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(_judging(model), JUDGED)
+    return map_arrow(pick(docs, doc_id=id_col, text=text_col), _judging(model), JUDGED)
 
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
@@ -303,4 +303,4 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
             for a, b, (*_, rejected) in _judged(model, part.column(at).to_pylist()):
                 yield part.slice(a, b - a).filter(pa.array(~rejected))
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

@@ -160,7 +160,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     two = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
     joined = pairs.join(one, "b").join(two, "a").select("a", "b", "ea", "eb")
-    return materialise(joined.mapInArrow(_overlap, "a long, b long, both long, na long, nb long"), "overlaps")
+    return materialise(map_arrow(joined, _overlap, "a long, b long, both long, na long, nb long"), "overlaps")
 
 
 def _similar(percent: int, both: Column, na: Column, nb: Column) -> Column:
@@ -176,7 +176,7 @@ def _explode_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unshared(sets: DataFrame) -> DataFrame:
     """(id, unshared): how many of a document's shingles no other one in ``sets`` has."""
-    spread = sets.mapInArrow(_explode_sets, "id long, element long")
+    spread = map_arrow(sets, _explode_sets, "id long, element long")
     once = spread.groupBy("element").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     return once.groupBy("id").agg(F.count(F.lit(1)).alias("unshared"))
 
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ``component_id`` is the least id that links reach, itself included.
     """
     texts = pick(docs, doc_id=id_col, text=text_col)
-    signed = materialise(texts.mapInArrow(_sign(k), SIGNED), "signatures")
+    signed = materialise(map_arrow(texts, _sign(k), SIGNED), "signatures")
     usable = signed.where("n > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"))
     classes = materialise(classes, "classes")
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = materialise(dealt.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "buckets")
     members = materialise(dealt.join(shared, "key").select("key", "id", "n", "leader"), "dealt")
     asked = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialise(texts.join(asked, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, elements binary"), "sets")
+    sets = materialise(map_arrow(texts.join(asked, "doc_id", "left_semi"), _sets(k), "doc_id long, elements binary"), "sets")
     star = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     stars = overlaps(star, sets)
     similar = _similar(percent, F.col("both"), F.col("na"), F.col("nb"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandemql.llm import chat, decontam, langid, licenses, mixing, neardup, secrets, tokens, topk, urls
@@ -29,14 +29,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    model = langid.train(docs.where(~F.coalesce(HELD_OUT, F.lit(False))))
+    model = langid.train(docs.where(~held_out()))
     told = langid.identify(docs, model)
-    return told.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

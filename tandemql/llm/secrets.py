@@ -138,4 +138,4 @@ def _scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: counts by kind, the digest of the known spans, and all spans as text. No shuffle."""
-    return pick(docs, doc_id=id_col, text=text_col).mapInArrow(_scan, SCANNED)
+    return map_arrow(pick(docs, doc_id=id_col, text=text_col), _scan, SCANNED)

@@ -67,9 +67,9 @@ def agg_having(t: Tables) -> DataFrame:
     return g.where("n > 12 AND _lo < 50000").select("o_custkey", "n")
 
 
-@registry.query("SELECT p_brand, round(avg(p_retailprice), 4) AS price FROM part GROUP BY p_brand HAVING price > 1000")
+@registry.query("SELECT p_brand, round(avg(p_retailprice), 4) AS price FROM part GROUP BY p_brand HAVING price > 940")
 def agg_having_alias(t: Tables) -> DataFrame:
-    return t.part.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 4).alias("price")).where("price > 1000")
+    return t.part.groupBy("p_brand").agg(F.round(F.avg("p_retailprice"), 4).alias("price")).where("price > 940")
 
 
 @registry.query("SELECT o_orderpriority, count(DISTINCT o_custkey) AS custs, count(o_custkey) AS n FROM orders GROUP BY o_orderpriority")

@@ -24,8 +24,8 @@ def _same(name: str, dialect: str, sql: str, oracle: str, params: tuple = ()) ->
     registry.query(oracle)(build)
 
 
-_same("sql_mysql_where_truth", "mysql", "SELECT n_name FROM nation WHERE n_regionkey AND n_name LIKE 'a%' || n_nationkey = 3", "SELECT n_name FROM nation WHERE (n_regionkey <> 0 AND n_name ILIKE 'a%') OR n_nationkey = 3")
-_same("sql_postgres_concat", "postgres", "SELECT n_name || '/' || n_regionkey AS x FROM nation WHERE n_name LIKE 'A%'", "SELECT n_name || '/' || n_regionkey AS x FROM nation WHERE n_name LIKE 'A%'")
+_same("sql_mysql_where_truth", "mysql", "SELECT n_name FROM nation WHERE n_regionkey AND n_name LIKE 'nation_1%' || n_nationkey = 3", "SELECT n_name FROM nation WHERE (n_regionkey <> 0 AND n_name ILIKE 'nation_1%') OR n_nationkey = 3")
+_same("sql_postgres_concat", "postgres", "SELECT n_name || '/' || n_regionkey AS x FROM nation WHERE n_name LIKE 'NATION_1%'", "SELECT n_name || '/' || n_regionkey AS x FROM nation WHERE n_name LIKE 'NATION_1%'")
 _same(
     "sql_mysql_group_join", "mysql",
     "SELECT r.r_name, COUNT(*) AS n, SUM(c.c_acctbal > 0) AS pos, MAX(c.c_acctbal) - MIN(c.c_acctbal) AS spread FROM region r JOIN nation n ON r.r_regionkey = n.n_regionkey LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY r.r_name HAVING COUNT(*) > 1 ORDER BY n DESC, r.r_name",

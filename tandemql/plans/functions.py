@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tandemql.functions.registry import FunctionRegistry
 from tandemql.plans.registry import Registry, Tables
@@ -156,9 +158,6 @@ def fn_struct(t: Tables) -> DataFrame:
 @registry.query("SELECT user_id, CAST(sum(hash_low) AS BIGINT) AS h FROM (SELECT user_id, length(event_type) * 31 AS hash_low FROM events) GROUP BY user_id")
 def fn_user_defined(t: Tables) -> DataFrame:
     """A function that a user registers, over Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.types import LongType
-
     from tandemql.session import Session
 
     @F.pandas_udf(LongType())

@@ -61,9 +61,9 @@ def filter_not_in_list(t: Tables) -> DataFrame:
     return t.orders.where(~F.col("o_orderstatus").isin("F", "O")).select("o_orderkey")
 
 
-@registry.query("SELECT c_custkey FROM customer WHERE NULLIF(c_mktsegment, 'BUILDING') NOT IN ('MACHINERY', NULL)")
+@registry.query("SELECT c_custkey FROM customer WHERE (NULLIF(c_mktsegment, 'BUILDING') NOT IN ('MACHINERY', NULL)) IS NULL")
 def filter_not_in_null(t: Tables) -> DataFrame:
-    return t.customer.where("nullif(c_mktsegment, 'BUILDING') NOT IN ('MACHINERY', NULL)").select("c_custkey")
+    return t.customer.where("(nullif(c_mktsegment, 'BUILDING') NOT IN ('MACHINERY', NULL)) IS NULL").select("c_custkey")
 
 
 @registry.query("SELECT c_custkey, c_name FROM customer WHERE c_name LIKE 'Customer%7' AND c_mktsegment NOT LIKE 'B%' AND c_name LIKE '%\\_%' ESCAPE '\\' OR c_name LIKE '%00_1'")

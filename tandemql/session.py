@@ -266,7 +266,9 @@ class Session:
             text = lowering.expr(_variables_as_names(a.value), scope)[0]
             given[table.column(a.target.parts[-1])] = F.expr(text)
         plain = [c for c in columns if not c.startswith("@") and table.column(c) not in given]
-        new = rows.select(*[F.col(c) for c in plain], *given.values())
+        # Lenient, as loading is; and a strict cast might meet a skipped line, as filters move below the skipping.
+        types = {f.name: f.dataType for f in table.df.schema.fields}
+        new = rows.select(*[F.col(c).try_cast(types[table.column(c)]) for c in plain], *[e.try_cast(types[c]) for c, e in given.items()])
         new = dml.aligned(table.df, new, [*plain, *given], table.defaults)
         n = new.count()
         table.put(dml.replace(table.df, new, table.key) if node.mode == "REPLACE" and table.key else dml.insert(table.df, new))

@@ -6,6 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 
 
+class Delimited(str):
+    """A name that was written in quotes, and is printed so."""
+
+
 class Node:
     def children(self) -> Iterator[Node]:
         for f in fields(self):
@@ -40,7 +44,6 @@ class Name(Node):
     """A column, perhaps qualified; the last part may be ``*``."""
 
     parts: list[str]
-    quoted: list[bool] = field(default_factory=list)
 
 
 @dataclass

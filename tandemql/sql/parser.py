@@ -66,7 +66,9 @@ class Parser:
                 raise self.fail(w)
 
     def identifier(self, what: str = "a name") -> str:
-        if self.now.kind in ("word", "ident"):
+        if self.now.kind == "ident":
+            return N.Delimited(self.next().value)
+        if self.now.kind == "word":
             return self.next().value
         raise self.fail(what)
 
@@ -245,7 +247,7 @@ class Parser:
             while self.ahead(n).kind in ("word", "ident") and self.ahead(n + 1).text == ".":
                 n += 2
             if n and self.ahead(n).text == "*" and self.ahead(n).kind == "op":
-                table = [self.tokens[self.at + i].value for i in range(0, n, 2)]
+                table = [N.Delimited(t.value) if t.kind == "ident" else t.value for t in self.tokens[self.at : self.at + n : 2]]
                 self.at += n + 1
                 return self.star_modifiers(N.Star(table))
         return N.Item(self.expr(), self.alias())
@@ -265,7 +267,7 @@ class Parser:
                 return self.next().value
             return self.identifier("an alias")
         if self.now.kind == "ident" or self.now.kind == "word" and self.now.upper not in _RESERVED:
-            return self.next().value
+            return self.identifier()
         if self.now.kind == "string" and self.dialect is Dialect.MYSQL:
             return self.next().value
         return None
@@ -806,16 +808,15 @@ class Parser:
         return N.Case(operand, whens, otherwise)
 
     def name_or_call(self) -> N.Node:
-        parts, quoted = [], []
+        parts = []
         while True:
-            quoted.append(self.now.kind == "ident")
             parts.append(self.identifier("an expression"))
             if not (self.sees(".") and (self.ahead().kind in ("word", "ident"))):
                 break
             self.next()
-        if self.sees("(") and not quoted[-1]:
+        if self.sees("(") and not isinstance(parts[-1], N.Delimited):
             return self.arguments(".".join(parts))
-        return N.Name(parts, quoted)
+        return N.Name(parts)
 
     def arguments(self, name: str) -> N.Call:
         self.want("(")

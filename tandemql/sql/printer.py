@@ -18,11 +18,9 @@ class Printer:
 
     # Names
 
-    def name(self, name: str, quoted: bool | None = None) -> str:
+    def name(self, name: str) -> str:
         plain = name.replace("_", "a").replace("$", "a").isalnum() and not name[0].isdigit() if name else False
-        from tandemql.sql.parser import _RESERVED
-
-        if quoted or quoted is None and (not plain or name.upper() in _RESERVED):
+        if isinstance(name, N.Delimited) or not plain:
             mark = "`" if self.dialect is Dialect.MYSQL else '"'
             return mark + name.replace(mark, mark * 2) + mark
         return name
@@ -39,8 +37,7 @@ class Printer:
         return n.raw.upper() if n.kind in ("null", "bool") else n.raw
 
     def on_name(self, n: N.Name) -> str:
-        quoted = n.quoted or [None] * len(n.parts)
-        return ".".join(self.name(p, q) for p, q in zip(n.parts, quoted, strict=True))
+        return self.dotted(n.parts)
 
     def on_param(self, n: N.Param) -> str:
         return n.raw
