@@ -6,13 +6,12 @@ Each stage takes what its predecessor kept, written as Parquet; all but the last
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tandemql.llm import common, decontam, langid, mixing, neardup, tokens
 from tandemql.llm.queries import MIX_WEIGHTS
+from tandemql.storage import fresh_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +48,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
-    base = f"{common.shared_dir(spark)}/tandemql/pipeline-{uuid.uuid4().hex}"
+    base = fresh_path(spark, "pipeline")
     docs = common.read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}")

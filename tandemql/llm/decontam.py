@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemql.llm.common import pick
+from tandemql.llm.common import map_arrow, pick
 from tandemql.llm.shingles import batches, hash_words, mix
 
 STRIDE = 32

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemql.llm.common import materialise, pick
+from tandemql.llm.common import map_arrow, materialise, pick
 from tandemql.llm.components import components
 from tandemql.llm.shingles import batches, mix, shingle_sets
 

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tandemql.llm.common import pick
+from tandemql.llm.common import map_arrow, pick
 
 # The forms of the contract. (kind, pattern, group that has a least length, that length)
 KNOWN = [

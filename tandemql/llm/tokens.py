@@ -26,7 +26,6 @@ are ordered by text length and digest; an empty table gives files without rows.
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemql.llm.common import pick, running_before, shared_dir
+from tandemql.llm.common import map_arrow, pick, running_before
+from tandemql.storage import fresh_path
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -236,7 +236,7 @@ def write_shards(docs: DataFrame, to: str, tokenizer_path: str, *, id_col: str =
     order = ["doc_id", "_size", "_digest"]
     rows = pick(docs, doc_id=id_col, text=text_col).withColumns({"_size": F.length("text"), "_digest": F.xxhash64("text")})
     dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.col("doc_id").cast("long"), "text")
-    dealt.mapInArrow(_shards(tokenizer_path, end_id), SHARD).write.option("compression", "zstd").parquet(to)
+    map_arrow(dealt, _shards(tokenizer_path, end_id), SHARD).write.option("compression", "zstd").parquet(to)
 
 
 READ = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -260,17 +260,13 @@ def read_digest(spark: SparkSession, at: str) -> DataFrame:
     files = spark.read.parquet(at)
     per_part = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = running_before(per_part, "part", "n", "_before").select(F.col("part").alias("_part"), "_before")
-    told = files.mapInArrow(_read, READ)
+    told = map_arrow(files, _read, READ)
     placed = told.join(F.broadcast(before), F.col("part") == F.col("_part"))  # a row per partition
     return placed.select("doc_id", (F.col("start") + F.col("_before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def shard_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tandemql/tokens-{uuid.uuid4().hex}"
-
-
 def encode_and_read(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
     spark = docs.sparkSession
-    to = shard_folder(spark)
+    to = fresh_path(spark, "tokens")
     write_shards(docs, to, tokenizer_path, **options)
     return read_digest(spark, to)
