@@ -12,8 +12,9 @@ n-gram as a context. A text is scored by looking its n-grams up in that array: t
 known there, plus the weights of the contexts that were backed off from.
 
 A text's language is the one of the lowest cross-entropy by character. The texts' best cross-entropies in
-the sample calibrate rejection: a text whose own lies above their REJECT_QUANTILE by REJECT_MARGIN bits is
-no text of a known language. ``score`` is the posterior of the best language, all languages alike before,
+the sample calibrate rejection: a text whose own lies above their REJECT_QUANTILE by REJECT_MARGIN bits, and
+by SHORT_MARGIN over the root of its length (a short text's mean varies more), is no text of a known
+language. ``score`` is the posterior of the best language, all languages alike before,
 with the evidence of at most EVIDENCE characters' worth of mean cross-entropy.
 
 Characters are lower-cased; everything but letters counts as a space, and runs of spaces as one.
@@ -42,6 +43,7 @@ SAMPLE_DOCS = 300
 EVIDENCE = 60
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 1.5
+SHORT_MARGIN = 4.0
 UNKNOWN = "und"
 #: Characters of text that are scored at a time.
 CHARACTERS = 1 << 19
@@ -186,10 +188,11 @@ class Model:
         bits, lettered = self.entropies(texts)
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(texts)), best]
-        sizes = np.array([min(EVIDENCE, len(t or "")) for t in texts])
-        score = 1 / np.exp2((least[:, None] - bits) * sizes[:, None]).sum(axis=1)
+        sizes = np.array([len(t or "") for t in texts])
+        score = 1 / np.exp2((least[:, None] - bits) * np.minimum(EVIDENCE, sizes)[:, None]).sum(axis=1)
+        above = self.reject_above + SHORT_MARGIN / np.sqrt(sizes + 1)
         langs = [self.langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered, strict=True)]
-        return langs, np.where(lettered, score, 0.0), np.where(lettered, least, 0.0), ~lettered | (least > self.reject_above)
+        return langs, np.where(lettered, score, 0.0), np.where(lettered, least, 0.0), ~lettered | (least > above)
 
 
 def build(counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]) -> Model:
