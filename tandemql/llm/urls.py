@@ -7,8 +7,8 @@ A rule ``host/path`` fits its host and all subdomains, if the url's path starts
 rules that fit, the longest wins, and its verdict holds. Other urls are judged by the model: their host
 and path are cut to character n-grams, which are hashed into BUCKETS features of equal weight.
 
-Defined cases: empty host and path have no n-grams but their frame's, and get the model's verdict for
-that; repeated rows are judged each; very long urls count whole; an empty table gives no rows.
+Defined cases: empty host and path have no n-grams, and get the model's verdict by its bias alone;
+repeated rows are judged each; very long urls count whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ def train(labelled: list[tuple[str, int]] = LABELLED, *, epochs: int = 400, rate
 
 def score_one(weights: np.ndarray, host: str, path: str) -> float:
     x = _features(host, path)
-    return float(1 / (1 + np.exp(-(weights[x].sum() / np.sqrt(len(x)) + weights[-1]))))
+    return float(1 / (1 + np.exp(-(weights[x].sum() / np.sqrt(max(1, len(x))) + weights[-1]))))
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]], give: int) -> Column:
