@@ -115,3 +115,61 @@ def setop_precedence(t: Tables) -> DataFrame:
 @registry.query("(SELECT n_name AS x FROM nation UNION SELECT r_name FROM region) ORDER BY x DESC LIMIT 6")
 def setop_order_limit(t: Tables) -> DataFrame:
     return S.union(t.nation.select(F.col("n_name").alias("x")), t.region.select("r_name")).orderBy(F.desc("x")).limit(6)
+
+
+# The same operations over whole tables. Every customer and supplier takes part; NULLIF keeps each difference from being empty.
+WHOLE_C, WHOLE_SUP = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
+WHOLE_SUP_BUT_3 = "SELECT NULLIF(s_nationkey, 3) AS k FROM supplier"
+
+
+def _whole_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
+    return t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
+
+
+def _whole_but_3(t: Tables) -> DataFrame:
+    return t.supplier.select(F.nullif("s_nationkey", F.lit(3)).alias("k"))
+
+
+@registry.query(f"{WHOLE_C} UNION ALL {WHOLE_SUP}")
+def union_all_whole(t: Tables) -> DataFrame:
+    return S.union(*_whole_sides(t), all_rows=True)
+
+
+@registry.query(f"{WHOLE_C} UNION {WHOLE_SUP}")
+def union_distinct_whole(t: Tables) -> DataFrame:
+    return S.union(*_whole_sides(t))
+
+
+@registry.query(f"{WHOLE_C} INTERSECT {WHOLE_SUP}")
+def intersect_whole(t: Tables) -> DataFrame:
+    return S.intersect(*_whole_sides(t))
+
+
+@registry.query(f"{WHOLE_C} INTERSECT ALL {WHOLE_SUP}")
+def intersect_all_whole(t: Tables) -> DataFrame:
+    return S.intersect(*_whole_sides(t), all_rows=True)
+
+
+@registry.query(f"SELECT n_nationkey AS k FROM nation EXCEPT {WHOLE_SUP_BUT_3}")
+def except_whole(t: Tables) -> DataFrame:
+    return S.except_(t.nation.select(F.col("n_nationkey").alias("k")), _whole_but_3(t))
+
+
+@registry.query(f"{WHOLE_C} EXCEPT ALL {WHOLE_SUP}")
+def except_all_whole(t: Tables) -> DataFrame:
+    return S.except_(*_whole_sides(t), all_rows=True)
+
+
+@registry.query(f"SELECT * FROM ({WHOLE_C}) a WHERE EXISTS (SELECT 1 FROM ({WHOLE_SUP}) b WHERE a.k IS NOT DISTINCT FROM b.k)")
+def intersect_all_filter_mode_whole(t: Tables) -> DataFrame:
+    return S.intersect(*_whole_sides(t), all_rows=True, bags=False)
+
+
+@registry.query(f"SELECT * FROM ({WHOLE_C}) a WHERE NOT EXISTS (SELECT 1 FROM ({WHOLE_SUP_BUT_3}) b WHERE a.k IS NOT DISTINCT FROM b.k)")
+def except_all_filter_mode_whole(t: Tables) -> DataFrame:
+    return S.except_(_whole_sides(t)[0], _whole_but_3(t), all_rows=True, bags=False)
+
+
+@registry.query("SELECT r_regionkey AS k FROM region UNION SELECT n_nationkey FROM nation INTERSECT SELECT NULLIF(s_nationkey, 3) FROM supplier")
+def setop_precedence_whole(t: Tables) -> DataFrame:
+    return t.sql("SELECT r_regionkey AS k FROM {region} UNION SELECT n_nationkey FROM {nation} INTERSECT SELECT NULLIF(s_nationkey, 3) FROM {supplier}")
