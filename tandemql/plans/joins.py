@@ -43,6 +43,13 @@ def join_full(t: Tables) -> DataFrame:
     return s.join(c, F.col("s_suppkey") == F.col("c_custkey"), "full")
 
 
+# Every supplier and customer takes part; the segment leaves unmatched rows on both sides.
+@registry.query("SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer ON s_suppkey = c_custkey AND c_mktsegment <> 'BUILDING'")
+def join_full_whole(t: Tables) -> DataFrame:
+    s, c = t.supplier.select("s_suppkey"), t.customer.select("c_custkey", "c_mktsegment")
+    return s.join(c, (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("c_mktsegment") != "BUILDING"), "full").select("s_suppkey", "c_custkey")
+
+
 @registry.query("SELECT r_name, n_name FROM region CROSS JOIN nation")
 def join_cross(t: Tables) -> DataFrame:
     return t.region.select("r_name").crossJoin(t.nation.select("n_name"))

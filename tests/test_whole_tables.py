@@ -26,3 +26,13 @@ def test_setop_over_whole_tables(spark, sf, name):
 @pytest.mark.parametrize("sf", SCALES)
 def test_union_all_has_every_customer_and_supplier(spark, sf):
     assert catalogue.QUERIES["union_all_whole"](spark, sf).count() == _rows(spark, sf, "customer") + _rows(spark, sf, "supplier")
+
+
+@pytest.mark.parametrize("sf", SCALES)
+def test_full_join_has_every_supplier_and_customer_and_unmatched_rows(spark, sf):
+    df = catalogue.QUERIES["join_full_whole"](spark, sf)
+    assert_same(df, catalogue.ORACLES["join_full_whole"], sf)
+    rows = df.collect()
+    assert len({r.s_suppkey for r in rows} - {None}) == _rows(spark, sf, "supplier")
+    assert len({r.c_custkey for r in rows} - {None}) == _rows(spark, sf, "customer")
+    assert any(r.s_suppkey is None for r in rows) and any(r.c_custkey is None for r in rows)
