@@ -86,3 +86,9 @@ def shard_read_is_where_written(t: Tables) -> DataFrame:
 def shard_setop(t: Tables) -> DataFrame:
     customer = _sharded(t, "customer:c_custkey:range:100=a,500=b,900=c", "customer")
     return _session(t, _sharded(t, HASH, "orders"), customer).execute_query("SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey <= 20 UNION ALL SELECT DISTINCT o_custkey, 99 FROM orders WHERE o_orderkey < 20")
+
+
+@registry.query("SELECT c_custkey, c_nationkey FROM customer UNION ALL SELECT o_custkey, 99 FROM (SELECT DISTINCT o_custkey FROM orders)")
+def shard_setop_whole(t: Tables) -> DataFrame:
+    customer = _sharded(t, "customer:c_custkey:range:100=a,500=b,900=c", "customer")
+    return _session(t, _sharded(t, HASH, "orders"), customer).execute_query("SELECT c_custkey, c_nationkey FROM customer UNION ALL SELECT DISTINCT o_custkey, 99 FROM orders")

@@ -25,6 +25,7 @@ _same("sub_scalar_empty", "SELECT r_name, (SELECT n_name FROM {nation} WHERE n_n
 _same("sub_in", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 300000)")
 _same("sub_not_in", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 200000)")
 _same("sub_not_in_null", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 5) FROM {orders} WHERE o_orderkey < 5000)")
+_same("sub_not_in_null_whole", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 5) FROM {orders})")
 _same("sub_exists", "SELECT s_suppkey FROM {supplier} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_suppkey = s_suppkey AND l_quantity >= 50 AND l_discount > 0.09)")
 _same("sub_not_exists", "SELECT p_partkey FROM {part} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_partkey = p_partkey AND l_quantity < 3)")
 _same("sub_corr_avg", "SELECT p_partkey FROM {part} p WHERE p_retailprice > (SELECT avg(q.p_retailprice) FROM {part} q WHERE q.p_brand = p.p_brand)")

@@ -36,3 +36,17 @@ def test_full_join_has_every_supplier_and_customer_and_unmatched_rows(spark, sf)
     assert len({r.s_suppkey for r in rows} - {None}) == _rows(spark, sf, "supplier")
     assert len({r.c_custkey for r in rows} - {None}) == _rows(spark, sf, "customer")
     assert any(r.s_suppkey is None for r in rows) and any(r.c_custkey is None for r in rows)
+
+
+@pytest.mark.parametrize("sf", SCALES)
+@pytest.mark.parametrize("name", ["sub_not_in_null", "sql_postgres_filter_window", "sql_count_distinct", "shard_setop"])
+def test_orders_and_customers_whole(spark, sf, name):
+    assert_same(catalogue.QUERIES[f"{name}_whole"](spark, sf), catalogue.ORACLES[f"{name}_whole"], sf)
+
+
+@pytest.mark.parametrize("sf", SCALES)
+def test_every_customer_with_orders_is_counted(spark, sf):
+    customers = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
+    assert catalogue.QUERIES["sql_count_distinct_whole"](spark, sf).first().n == customers
+    assert catalogue.QUERIES["sql_postgres_filter_window_whole"](spark, sf).count() == customers
+    assert catalogue.QUERIES["shard_setop_whole"](spark, sf).count() == _rows(spark, sf, "customer") + customers
