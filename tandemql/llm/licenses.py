@@ -2,7 +2,11 @@
 
 Only DataFrame operations: no Python code runs on the executors.
 
-A document's units are its lines, and its paragraphs (between blank lines) of two lines or more. A unit
+A document's units are its lines, its paragraphs (between blank lines) of two lines or more, and windows of words.
+Windows are looked for in what no line or paragraph that fits a template covers: runs of words of one paragraph,
+within a line or over several, of as many bigrams as the size bounds of a template allow. Of those that fit, the one with the
+greatest coefficient is taken, then the next that shares no word with it, and so on. A window is numbered in its document,
+and its text is that of its normalised words. It begins and ends with a bigram of its template: others only lower the coefficient. A unit
 and a template are normalised alike: lower case, every run of characters other than a-z and 0-9 a space.
 With A and B their sets of bigrams, Dice = 2|A and B| / (|A| + |B|) can reach the threshold t only if
 t/(2-t) |B| <= |A| <= (2-t)/t |B|; these size bounds prune the templates that a unit is compared with.
@@ -72,13 +76,95 @@ def needed_pattern(known: list[tuple[str, list[str], int, int]]) -> str:
     return "(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items())) + ")(?![a-z0-9])"
 
 
-def _units(text: Column) -> Column:
+#: Stands in a document's words for what windows don't reach over. No word is equal to it.
+BREAK = "\n"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+
+def _bigrams(words: Column) -> Column:
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _fits(text: Column, known: list[tuple[str, list[str], int, int]], threshold: float) -> Column:
+    def against(grams: Column) -> Column:
+        fit = F.lit(False)
+        for _, own, lo, hi in known:
+            enough = F.size(F.array_intersect(grams, F.array(*map(F.lit, own)))) * 2.0 >= (F.size(grams) + len(own)) * (threshold - 1e-12)
+            fit = fit | (F.size(grams).between(lo, hi) & enough)
+        return fit
+
+    return _let(_words(text), lambda words: _let(F.array_distinct(_bigrams(words)), against))
+
+
+def _uncovered(text: Column, known: list[tuple[str, list[str], int, int]], needed: str, threshold: float) -> Column:
+    """The words that no fitting line or paragraph covers, with BREAK between runs. Paragraphs without a needed bigram have no window."""
+    gap = F.array(F.lit(BREAK))
+
+    def line(unit: Column) -> Column:
+        return F.when(F.lower(unit).rlike(needed) & _fits(unit, known, threshold), gap).otherwise(F.array_remove(_words(unit), ""))
+
+    def paragraph(unit: Column) -> Column:
+        covered = F.contains(unit, F.lit("\n")) & _fits(unit, known, threshold)
+        return F.when(~F.lower(unit).rlike(needed) | covered, gap).otherwise(F.concat(F.flatten(F.transform(F.split(unit, "\n"), line)), gap))
+
+    return F.flatten(F.transform(F.split(text, "\n[ \t\r]*\n"), paragraph))
+
+
+def _windows(text: Column, known: list[tuple[str, list[str], int, int]], needed: str, threshold: float) -> Column:
+    """The texts of the windows that fit, in order. A candidate is (-Dice, license, first word, bigrams)."""
+    kind = "array<struct<less:double,license:string,first:int,size:int>>"
+    none = F.array().cast(kind)
+
+    def candidates(words: Column, grams: Column, name: str, own: list[str], lo: int, hi: int) -> Column:
+        both = F.array(*map(F.lit, own))
+
+        def judged(first: Column, size: Column) -> Column:
+            window = F.slice(grams, first, size)
+            dice = F.lit(2.0) * F.size(F.array_intersect(window, both)) / (F.size(F.array_distinct(window)) + len(own))
+            whole = ~F.array_contains(F.slice(words, first, size + 1), F.lit(BREAK))
+            return F.struct(F.when(whole, -dice).otherwise(0.0).alias("less"), F.lit(name).alias("license"), first.alias("first"), size.alias("size"))
+
+        def begun(first: Column) -> Column:
+            able = F.size(F.array_intersect(F.slice(grams, first, F.lit(hi)), both)) >= lo
+            sizes = F.filter(F.sequence(F.lit(lo), F.least(F.lit(hi), F.size(grams) - first + 1)), lambda m: F.element_at(grams, first + m - 1).isin(own))
+            fit = F.filter(F.transform(sizes, lambda m: judged(first, m)), lambda c: c["less"] <= -threshold + 1e-12)
+            return F.when(able, fit.cast(kind)).otherwise(none)
+
+        firsts = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.element_at(grams, i).isin(own))
+        return F.flatten(F.transform(firsts, begun))
+
+    def apart(kept: Column, c: Column) -> Column:
+        touches = F.exists(kept, lambda k: (k["first"] <= c["first"] + c["size"]) & (c["first"] <= k["first"] + k["size"]))
+        return F.when(touches, kept).otherwise(F.concat(kept, F.array(c)))
+
+    def of(words: Column, grams: Column) -> Column:
+        ranked = F.array_sort(F.concat(*[candidates(words, grams, *k) for k in known]))
+        kept = F.array_sort(F.transform(F.aggregate(ranked, none, apart), lambda c: F.struct(c["first"], c["size"])))
+        return F.transform(kept, lambda c: F.array_join(F.slice(words, c["first"], c["size"] + 1), " "))
+
+    def found(words: Column) -> Column:
+        able = (F.size(words) > 1) & F.array_join(words, " ").rlike(needed)
+        return F.when(able, _let(_bigrams(words), lambda grams: of(words, grams))).otherwise(F.array().cast("array<string>"))
+
+    return _let(_uncovered(text, known, needed, threshold), found)
+
+
+def _units(text: Column, windows: Column) -> Column:
     def numbered(kind: str, parts: Column) -> Column:
         return F.transform(parts, lambda s, i: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("unit_no"), s.alias("unit")))
 
     lines = numbered("line", F.split(text, "\n"))
     paragraphs = F.filter(numbered("paragraph", F.split(text, "\n[ \t\r]*\n")), lambda u: F.contains(u["unit"], F.lit("\n")))
-    return F.concat(lines, paragraphs)
+    return F.concat(lines, paragraphs, numbered("window", windows))
 
 
 def scan(
@@ -101,7 +187,7 @@ def scan(
 
     needed = needed_pattern(known)
     texts = common.pick(docs, doc_id=id_col, text=text_col).where(F.lower("text").rlike(needed))
-    cut = texts.select("doc_id", F.inline(_units(F.col("text")))).where(F.lower("unit").rlike(needed))
+    cut = texts.select("doc_id", F.inline(_units(F.col("text"), _windows(F.col("text"), known, needed, threshold)))).where(F.lower("unit").rlike(needed))
     words = F.split(F.trim(F.regexp_replace(F.lower("unit"), "[^a-z0-9]+", " ")), " ")
     cut = cut.withColumn("_words", words).withColumn("_n", F.size("_words") - 1).where(F.col("_n") >= max(1, least))
     pairs = F.zip_with(F.slice("_words", F.lit(1), F.col("_n")), F.slice("_words", F.lit(2), F.col("_n")), lambda a, b: F.concat(a, F.lit(" "), b))
