@@ -1,9 +1,10 @@
 """Token ids of whole texts in binary shards, compressed by Re-Pair grammars.
 
 Documents are dealt and sorted by id, and encoded. A shard holds the documents of about SHARD_IDS ids.
-In it, pairs of neighbouring symbols that are frequent are replaced by nonterminals, again and again: each
+In it, pairs of neighbouring symbols that are frequent are replaced by nonterminals, until none is: each
 round counts all pairs, gives the PAIRS_A_ROUND most frequent (at least LEAST_COUNT times) a rule each,
-and replaces their occurrences from left to right, where they overlap the earlier. Pairs never reach over
+and replaces their occurrences from left to right, where they overlap the earlier. A run of one symbol counts
+its overlapping pairs, of which every second is replaced. Pairs never reach over
 the end of a document, so each document has a symbol string of its own and can be decoded alone.
 
 The file format is Parquet with a row per shard, written by Spark, so that it goes wherever Spark writes,
@@ -43,7 +44,6 @@ END_ID = 2
 SHARD_IDS = 1 << 18
 PAIRS_A_ROUND = 1024
 LEAST_COUNT = 8
-ROUNDS = 6
 #: Texts that are encoded at a time.
 TEXTS = 64
 
@@ -62,9 +62,7 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
     rules: list[np.ndarray] = []
     fresh = first
     table = np.full(1 << 18, -1, dtype=np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         pairs = (symbols[:-1] << 24) | symbols[1:]
         pairs[last[:-1]] = -1
         ordered = np.sort(pairs)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 import re
 
-from tandemql.llm import licenses
+import numpy as np
+
+from tandemql.llm import licenses, tokens
 
 
 def docs_of(spark, texts):
@@ -70,3 +72,18 @@ def test_license_windows_equal_brute_force(spark):
                 kept.append(c)
         want = [(n, name, round(-less, 9), " ".join(w[a : a + m + 1])) for n, (less, name, a, m) in enumerate(sorted(kept, key=lambda c: c[2]))]
         assert sorted(got[i]) == want, text
+
+
+def test_repair_runs_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    one = np.append(rng.integers(3, 500, 500), 2)
+    for docs in ([one] * 300, [np.append(np.full(4000, 7), 2), np.append(np.tile([5, 6], 900), 2)]):
+        ends = np.cumsum([len(d) for d in docs])
+        rules, symbols, offsets = tokens.repair(np.concatenate(docs), ends, 1000)
+        pairs: dict[tuple[int, int], int] = {}
+        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+            for pair in zip(symbols[a : b - 1].tolist(), symbols[a + 1 : b].tolist(), strict=True):
+                pairs[pair] = pairs.get(pair, 0) + 1
+        assert max(pairs.values(), default=0) < tokens.LEAST_COUNT
+        shard = tokens.Shard({"wide": 4, "first": 1000, "rules": rules.astype("<u4").tobytes(), "lengths": tokens.rule_lengths(rules, 1000).astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(), "offsets": offsets.astype("<u4").tobytes(), "doc_ids": list(range(len(docs)))})
+        assert all((shard.document(i) == d).all() for i, d in enumerate(docs))
