@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output.
 
 Each stage takes what its predecessor kept, written as Parquet; all but the last return the columns of
-``documents``. The mix gives a document as many rows as repetitions, the last perhaps in part.
+``documents``. The mix gives a document as many rows as repetitions, the last in part
+only if its source would else miss its target by more than 1%.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, MIX_WEIGHTS, chars_col="n_chars")
+    return mixing.mix(docs, MIX_WEIGHTS, chars_col="n_chars", whole_texts=True)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

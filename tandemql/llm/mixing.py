@@ -7,7 +7,8 @@ its own words. What a clamped source can't take is dealt to the others by weight
 its clamp. A source of rate ``r = target / size`` is repeated ``floor(r)`` times as a whole; of the rest,
 documents in an order seeded by ``seed`` are repeated once more until the fraction is met. The last of
 them is repeated in part (its first words), so that a source meets its target to a word or so for each
-bucket of BUCKET_ROWS documents, however long single documents are.
+bucket of BUCKET_ROWS documents, however long single documents are. ``mix(whole_texts=True)`` takes that last
+document whole or not at all, whichever is nearer, unless its bucket then misses its target by more than MISS.
 
 Defined cases: a null text, or one of white space only, has size 0 and is taken 0 times; the null source
 is a source of its own, ranked last; a source without words has target 0; weights that are null or
@@ -26,6 +27,8 @@ from tandemql.llm import common
 #: Documents of a source that are ordered together; a hot source has many such buckets.
 BUCKET_ROWS = 2000
 MAX_EPOCHS = 3.0
+#: Share of a bucket's target that it may miss or exceed so that its last text stays whole.
+MISS = 0.01
 SEED = 17
 
 
@@ -90,7 +93,7 @@ def plan_mix(
     """A row per document: doc_id, source, size, source_size, target, whole, extra, taken.
 
     ``weights``: a list dealt in turn over the sources by code point, or a table (source, weight);
-    sources that it lacks weigh 0. ``keep_rows`` carries each whole row along as ``row``.
+    sources that it lacks weigh 0. ``keep_rows`` carries each whole row along as ``row``, with ``bucket_target``.
     ``whole`` is the number of full repetitions, ``extra`` the words of one more, partial or full.
     """
     wanted = {"doc_id": id_col, "text": text_col, "source": source_col}
@@ -118,16 +121,21 @@ def plan_mix(
     extra = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("_left")))
     out = rows.withColumn("extra", extra).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
     cols = ["doc_id", "source", "size", "source_size", "target", "whole", "extra", "taken"]
-    return out.select(*cols, *(["row"] if keep_rows else []))
+    share = (F.col("target") / buckets).alias("bucket_target")
+    return out.select(*cols, *([share, "row"] if keep_rows else []))
 
 
-def mix(docs: DataFrame, weights: list[float] | DataFrame, *, text_col: str = "text", chars_col: str | None = None, **options) -> DataFrame:
+def mix(docs: DataFrame, weights: list[float] | DataFrame, *, text_col: str = "text", chars_col: str | None = None, whole_texts: bool = False, **options) -> DataFrame:
     """The mixed table itself, with the columns of ``docs``: each document as often as the plan says.
 
     A partial repetition has the document's first words, with the white space between them as it was;
-    ``chars_col``, if given, is set to its length.
+    ``chars_col``, if given, is set to its length. ``whole_texts`` makes it whole or leaves it out, within MISS.
     """
     plan = plan_mix(docs, weights, text_col=text_col, keep_rows=True, **options)
+    if whole_texts:
+        nearer = F.when(2 * F.col("extra") >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
+        near = F.abs(nearer - F.col("extra")) <= F.lit(MISS) * F.col("bucket_target")
+        plan = plan.withColumn("extra", F.when(near, nearer).otherwise(F.col("extra"))).withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
     at = docs.columns.index(text_col)
     part = F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<long>"))
     copies = F.concat(F.array_repeat(F.col("size"), F.col("whole").cast("int")), part)

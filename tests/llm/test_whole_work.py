@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from tandemql.llm import licenses, tokens
+from tandemql.llm import licenses, mixing, tokens
 
 
 def docs_of(spark, texts):
@@ -87,3 +87,21 @@ def test_repair_runs_until_no_pair_is_frequent():
         assert max(pairs.values(), default=0) < tokens.LEAST_COUNT
         shard = tokens.Shard({"wide": 4, "first": 1000, "rules": rules.astype("<u4").tobytes(), "lengths": tokens.rule_lengths(rules, 1000).astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(), "offsets": offsets.astype("<u4").tobytes(), "doc_ids": list(range(len(docs)))})
         assert all((shard.document(i) == d).all() for i, d in enumerate(docs))
+
+
+def test_mixed_texts_stay_whole(spark):
+    rng = random.Random(4)
+    rows = [(i, f"n{i} " + "w " * rng.randint(5, 60), rng.choice("abc")) for i in range(5000)] + [(9000, "long " * 1000, "only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 5.0), ("b", 1.0), ("c", 2.0), ("only", 0.02)], "source string, weight double")
+    texts = {i: t for i, t, _ in rows}
+    target = {r.source: r.target for r in mixing.plan_mix(df, weights).collect()}
+    taken = dict.fromkeys(target, 0)
+    cut = set()
+    for r in mixing.mix(df, weights, whole_texts=True).collect():
+        taken[r.source] += len(r.text.split())
+        if r.text != texts[r.doc_id]:
+            cut.add(r.doc_id)
+    assert cut == {9000}  # alone, it is more than its source may miss
+    assert all(abs(taken[s] - target[s]) <= mixing.MISS * target[s] + 3 for s in target)
+    assert 0 < taken["only"] < 1000
