@@ -31,6 +31,26 @@ def sort_alias(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", (F.col("p_retailprice") / F.col("p_size")).alias("unit")).orderBy(F.desc("unit"), "p_partkey").limit(30)
 
 
+@registry.query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
+def sort_multi_whole(t: Tables) -> DataFrame:
+    return t.customer.select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey")
+
+
+@registry.query("SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey")
+def sort_nulls_whole(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s")).orderBy(F.asc_nulls_first("s"), "o_orderkey")
+
+
+@registry.query("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
+def sort_not_projected_whole(t: Tables) -> DataFrame:
+    return t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").select("c_name")
+
+
+@registry.query("SELECT p_partkey, p_retailprice / p_size AS unit FROM part ORDER BY unit DESC, 1")
+def sort_alias_whole(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", (F.col("p_retailprice") / F.col("p_size")).alias("unit")).orderBy(F.desc("unit"), "p_partkey")
+
+
 @registry.query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 def limit_offset(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey").orderBy("o_orderkey").offset(25).limit(10)

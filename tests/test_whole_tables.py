@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from compare import assert_same
 
@@ -50,3 +51,13 @@ def test_every_customer_with_orders_is_counted(spark, sf):
     assert catalogue.QUERIES["sql_count_distinct_whole"](spark, sf).first().n == customers
     assert catalogue.QUERIES["sql_postgres_filter_window_whole"](spark, sf).count() == customers
     assert catalogue.QUERIES["shard_setop_whole"](spark, sf).count() == _rows(spark, sf, "customer") + customers
+
+
+@pytest.mark.parametrize("sf", SCALES)
+@pytest.mark.parametrize("name, table", [("sort_multi", "customer"), ("sort_nulls", "orders"), ("sort_not_projected", "customer"), ("sort_alias", "part")])
+def test_sort_returns_all_rows_in_order(spark, sf, name, table):
+    got = [tuple(r) for r in catalogue.QUERIES[f"{name}_whole"](spark, sf).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    assert len(got) == _rows(spark, sf, table)
+    assert got == con.execute(catalogue.ORACLES[f"{name}_whole"]).fetchall()
