@@ -6,8 +6,9 @@ by the score that they need, and terms have postings of (item, BM25 weight) in t
 at every BLOCK items, alike for all terms; a term has its greatest weight of each block, and of all.
 
 Every document is cut into passages of PASSAGE words, the next beginning STRIDE words on, to its end. A run of
-PASSAGE - STRIDE words is whole in some passage, and of a longer item at least SURE words are, so an item needs
-``theta`` of the least score that SURE of its words in a row get. First, for all passages of a batch at once,
+PASSAGE - STRIDE words is whole in some passage. Of a longer item the best passage holds at least 16 + L/2 of its L words,
+and SURE at most; which ones depends on the offset. So an item needs ``theta`` of what the best passage holds at
+the worst offset, and no more than ``theta`` of the least score that SURE of its words in a row get. First, for all passages of a batch at once,
 the sum of the distinct terms' greatest weights is held against the least score that any item needs; for
 those that pass, the sums of the blocks' greatest weights against what the block's items need. In the blocks that
 are left WAND orders the cursors by item, finds the pivot where the greatest weights first reach the least
@@ -91,6 +92,14 @@ class Index:
         return float(self.needed[0]) if len(self.needed) else math.inf
 
 
+def worst_offset(told: dict[int, float], flat: list[int]) -> float:
+    """What the passage that holds most of an item's weight has of it, at the offset where that is least."""
+    return min(
+        max(sum(told[k] for k in set(flat[max(0, a - offset) : max(0, a - offset + PASSAGE)])) for a in range(0, offset + len(flat), STRIDE))
+        for offset in range(STRIDE)
+    )
+
+
 def build_index(items: list[tuple[int, str]], *, theta: float = THETA, df: dict[int, int] | None = None, total: int | None = None, mean: float | None = None) -> Index:
     """``df``, ``total`` and ``mean``: statistics of all items, where ``items`` is a part of them."""
     items = [(i, t) for i, t in items if i is not None and item_words(t or "")]
@@ -109,7 +118,8 @@ def build_index(items: list[tuple[int, str]], *, theta: float = THETA, df: dict[
             told[key] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
         weighed.append(told)
         flat = w.tolist()
-        needed[i] = theta * min(sum(told[k] for k in set(flat[j : j + SURE])) for j in range(max(1, len(flat) - SURE + 1)))
+        runs = min(sum(told[k] for k in set(flat[j : j + SURE])) for j in range(max(1, len(flat) - SURE + 1)))
+        needed[i] = theta * min(runs, worst_offset(told, flat))
     order = np.argsort(needed, kind="stable").tolist()
     gathered: dict[int, list[tuple[int, float]]] = {}
     for number, i in enumerate(order):

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from tandemql.llm import licenses, mixing, tokens
+from tandemql.llm import decontam, licenses, mixing, tokens
 
 
 def docs_of(spark, texts):
@@ -105,3 +105,21 @@ def test_mixed_texts_stay_whole(spark):
     assert cut == {9000}  # alone, it is more than its source may miss
     assert all(abs(taken[s] - target[s]) <= mixing.MISS * target[s] + 3 for s in target)
     assert 0 < taken["only"] < 1000
+
+
+def test_an_item_needs_no_more_than_the_worst_offset_leaves():
+    for n in (20, 32, 33, 40, 50, 63, 64, 100):
+        common_words = [f"c{j}" for j in range(n)]
+        item = " ".join([*(f"rare{n}a{j}" for j in range(6)), *common_words[: n - 12], *(f"rare{n}b{j}" for j in range(6))])
+        others = [(i, " ".join(common_words) + f" o{i}") for i in range(1, 30)]
+        index = decontam.build_index([(0, item), *others])
+        at = index.ids.index(0)
+        terms = {int(t): row for row, t in enumerate(index.terms)}
+        weight = {}
+        for t, row in terms.items():
+            items, weights = index.postings[row]
+            weight[t] = float(weights[items == at].sum())
+        own = index.words[at].tolist()
+        for offset in range(decontam.STRIDE):
+            held = max(sum(weight[k] for k in set(own[max(0, a - offset) : max(0, a - offset + decontam.PASSAGE)])) for a in range(0, offset + n, decontam.STRIDE))
+            assert index.needed[at] <= decontam.THETA * held + 1e-9, (n, offset)
