@@ -26,12 +26,15 @@ are ordered by text length and digest; an empty table gives files without rows.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +47,14 @@ END_ID = 2
 SHARD_IDS = 1 << 18
 PAIRS_A_ROUND = 1024
 LEAST_COUNT = 8
-#: Texts that are encoded at a time.
-TEXTS = 64
+#: Slots of the table that pairs are looked up in.
+SLOTS = 1 << 17
+#: Bytes of texts that are encoded at a time, or one text if that is longer.
+GROUP_BYTES = 1 << 23
+#: Pieces whose ids a worker remembers, beside those of the texts at hand.
+REMEMBERED = 1 << 19
+#: Pieces that are given to the library in one text.
+TOGETHER = 100
 
 SHARD = (
     "part int, shard int, before long, n_ids long, first int, wide int, rules binary, lengths binary, "
@@ -55,38 +64,44 @@ SHARD = (
 
 def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rules, symbols, offsets of the documents' symbols) for ``ids``, whose documents end before ``ends``."""
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), dtype=bool)
     last[ends[ends > 0] - 1] = True
     empty = np.diff(np.concatenate([[0], ends])) == 0
     rules: list[np.ndarray] = []
     fresh = first
-    table = np.full(1 << 18, -1, dtype=np.int64)
+    table, rank = np.full(SLOTS + 1, -1, dtype=np.int64), np.zeros(SLOTS + 1, dtype=np.uint32)
     while len(symbols) > 1:
-        pairs = (symbols[:-1] << 24) | symbols[1:]
-        pairs[last[:-1]] = -1
+        left, right = symbols[:-1], symbols[1:]
+        slots = _slots(left, right)
+        slots[last[:-1]] = SLOTS
+        counts = np.bincount(slots, minlength=SLOTS + 1)
+        counts[SLOTS] = 0
+        near = np.flatnonzero(counts[slots] >= LEAST_COUNT)  # no frequent pair is elsewhere
+        pairs = (left[near].astype(np.int64) << 32) | right[near]
         ordered = np.sort(pairs)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(near) else near
         counts, keys = np.diff(np.append(edge, len(ordered))), ordered[edge]
-        often = np.flatnonzero((counts >= LEAST_COUNT) & (keys >= 0))
+        often = np.flatnonzero(counts >= LEAST_COUNT)
         if not len(often):
             break
         if len(often) > PAIRS_A_ROUND:
             often = often[np.argsort(-counts[often], kind="stable")[:PAIRS_A_ROUND]]
         chosen = np.sort(keys[often])
-        slot = ((chosen.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        slot, kept = np.unique(slot, return_index=True)  # of pairs in one slot of the table, one has its turn in this round
-        chosen = chosen[kept]
-        table[slot] = chosen
-        at = ((pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        hit = np.flatnonzero((table[at] == pairs) & (pairs >= 0))
+        slot, kept = np.unique(_slots((chosen >> 32).astype(np.uint32), chosen.astype(np.uint32)), return_index=True)
+        order = np.argsort(kept)  # of pairs in one slot of the table, one has its turn in this round
+        slot, chosen = slot[order], chosen[np.sort(kept)]
+        table[slot], rank[slot] = chosen, np.arange(len(chosen))
+        near_slots = slots[near]
+        found = table[near_slots] == pairs
         table[slot] = -1
+        hit, numbers = near[found], rank[near_slots[found]]
         run = np.flatnonzero(np.concatenate([[True], np.diff(hit) != 1]))
         begun = np.repeat(hit[run], np.diff(np.append(run, len(hit))))
-        hit = hit[(hit - begun) % 2 == 0]
-        order = np.argsort(chosen)
-        rules.append(np.stack([chosen[order] >> 24, chosen[order] & 0xFFFFFF], axis=1))
-        symbols[hit] = fresh + np.searchsorted(chosen[order], pairs[hit])
+        own = (hit - begun) % 2 == 0
+        hit, numbers = hit[own], numbers[own]
+        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
+        symbols[hit] = np.uint32(fresh) + numbers
         fresh += len(chosen)
         last[hit] = last[hit + 1]
         stay = np.ones(len(symbols), dtype=bool)
@@ -98,6 +113,12 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
     return (np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)), symbols, offsets
 
 
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A slot below SLOTS for each pair; pairs may share one."""
+    mixed = left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)
+    return (mixed >> np.uint32(32 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     out = np.zeros(len(rules), dtype=np.int64)
     for i, (a, b) in enumerate(rules.tolist()):
@@ -169,15 +190,42 @@ class Shard:
 
 _encoders: dict[str, "Encoder"] = {}
 
+#: Letters and marks of ASCII between which a byte-level pattern always cuts; an apostrophe may belong to what follows.
+MARK = r"[!-&(-/:-@\[-`{-~]"
+#: White space, and some more that the library doesn't hold for it: where two stand together, cuts are found one by one.
+SPACE = "[\\t-\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: A space and Latin letters are one piece of the pattern, also between line breaks, which make no token with them.
+WORD_PIECE = re.compile(" [A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+LONE_SPACE, LONE_BREAK = re.compile(r" (?=\S)"), re.compile(r"(?<=\S)\n(?=\S)")
+
 
 class Encoder:
-    """Whole texts to ids by the tokenizers library; a worker loads a vocabulary once."""
+    """Whole texts to ids by the tokenizers library; a worker loads a vocabulary once.
+
+    Where the vocabulary is byte-level BPE with the usual pattern, texts are cut at places where that pattern
+    cuts in any case: before a space that a non-space follows, around a single line break, and between a letter
+    and a mark of ASCII. The library encodes each different piece of many texts once, and its ids are remembered
+    for up to REMEMBERED pieces. Texts with a zero character or an added token, and all texts of other
+    vocabularies, go through the library whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        usual = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        self.cuts = (
+            usual.items() <= (told["pre_tokenizer"] or {}).items()
+            and told["model"]["type"] == "BPE"
+            and not (told["model"].get("dropout") or any(told[k] for k in ("normalizer", "post_processor", "truncation", "padding")))
+        )
+        self.added = [t["content"] for t in told["added_tokens"]]
+        alone = self.whole.encode("\n", add_special_tokens=False).ids
+        self.line_break = alone[0] if self.cuts and len(alone) == 1 else None
+        self._begin()
 
     @classmethod
     def get(cls, path: str) -> "Encoder":
@@ -185,10 +233,108 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """Each text's ids and the end id."""
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids."""
+        if not self.cuts:
+            return self._whole(texts.to_pylist())
+        odd = pc.match_substring(texts, "\0")
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, token))
+        plain = pc.if_else(odd, "", texts)
+        out = np.split(*self._pieces(plain)) if len(texts) else []
+        at = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        for i, ids in zip(at, self._whole(texts.take(pa.array(at, pa.int64())).to_pylist()), strict=True):
+            out[i] = ids
+        return out
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
         encoded = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array([*e.ids, end_id], dtype=np.uint32) for e in encoded]
+        return [np.array(e.ids, dtype=np.uint32) for e in encoded]
+
+    def _cut(self, texts: pa.Array) -> pa.Array:
+        """The texts' pieces, a list for each."""
+        marked = pc.replace_substring_regex(texts, f"([A-Za-z])({MARK})", "\\1\0\\2")
+        marked = pc.replace_substring_regex(marked, f"({MARK})([A-Za-z])", "\\1\0\\2")
+        crowded = pc.match_substring_regex(texts, f"{SPACE}{{2}}")
+        out = pc.replace_substring(pc.replace_substring(marked, "\n", "\0\n\0"), " ", "\0 ")
+        if pc.any(crowded).as_py():
+            few = [LONE_SPACE.sub("\0 ", LONE_BREAK.sub("\0\n\0", t)) for t in marked.filter(crowded).to_pylist()]
+            out = pc.replace_with_mask(out, crowded, pa.array(few, out.type))
+        return pc.split_pattern(out, "\0")
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, where the second and later texts' begin)."""
+        lists = self._cut(texts)
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        known = self.known
+        numbers = list(map(known.get, pieces))
+        if None in numbers:
+            self.again[[n for n in numbers if n is not None]] = True
+            self._learn([p for p, n in zip(pieces, numbers, strict=True) if n is None])
+            numbers = [known[p] if n is None else n for p, n in zip(pieces, numbers, strict=True)]
+        at = np.array(numbers, dtype=np.int64)[coded.indices.to_numpy()]
+        own = self.sizes[at]
+        to = np.concatenate([[0], np.cumsum(own)])
+        all_ids = self.ids[np.repeat(self.starts[at] - to[:-1], own) + np.arange(to[-1])]
+        return all_ids, to[lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()]
+
+    def _forget(self) -> None:
+        """Keep the pieces that came again since they were learned, if they are few enough."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > REMEMBERED // 2:
+            kept = kept[:0]
+        pieces, sizes = list(self.known), self.sizes[kept]
+        at = np.repeat(self.starts[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        ids = self.ids[at]
+        self._begin()
+        self._add([pieces[i] for i in kept.tolist()], ids, sizes)
+
+    def _begin(self) -> None:
+        """``known`` numbers pieces; a number's ids begin at ``starts`` of ``ids``, and are ``sizes`` many."""
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(0, dtype=np.uint32)
+        self.sizes = self.starts = np.zeros(0, dtype=np.int64)
+        self.again = np.zeros(0, dtype=bool)
+
+    def _learn(self, new: list[str]) -> None:
+        """The ids of new pieces. Words that begin with a space stand in lines of TOGETHER, as the library is faster then."""
+        words = [p for p in new if WORD_PIECE(p)] if self.line_break else []
+        if words:
+            lines = ["\n".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+            encoded = self.whole.encode_batch_fast(lines, add_special_tokens=False)
+            ids = np.concatenate([np.array([*e.ids, self.line_break], dtype=np.uint32) for e in encoded])
+            ends = np.flatnonzero(ids == self.line_break)
+            self._add(words, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+        others = [p for p in new if not WORD_PIECE(p)] if words else new
+        found = self._whole(others)
+        self._add(others, np.concatenate([np.zeros(0, dtype=np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64))
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), dtype=bool)])
+
+
+def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """(doc_ids, texts) of some batches together, or of a part of one: GROUP_BYTES of texts at most, or one text."""
+    own: list = []
+    held: list[pa.Array] = []
+    size = 0
+    for batch in parts:
+        ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+        begin = 0
+        for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+            if size and size + n > GROUP_BYTES:
+                yield own + ids[begin:i], pa.concat_arrays([*held, texts.slice(begin, i - begin)])
+                own, held, size, begin = [], [], 0, i
+            size += n
+        own, held = own + ids[begin:], [*held, texts.slice(begin)]
+    if own:
+        yield own, pa.concat_arrays(held)
 
 
 def _shards(path: str, end_id: int):
@@ -202,7 +348,7 @@ def _shards(path: str, end_id: int):
         def written() -> pa.RecordBatch:
             nonlocal shard, before, size, docs, ids
             flat = np.concatenate(docs)
-            rules, symbols, offsets = repair(flat, np.cumsum([len(d) for d in docs]), first)
+            rules, symbols, offsets = repair(flat, np.cumsum([len(d) for d in docs])[1::2], first)
             wide = 2 if first + len(rules) <= 1 << 16 else 4
             kind = f"<u{wide}"
             blobs = [rules.astype(kind), rule_lengths(rules, first).astype("<u4"), symbols.astype(kind), offsets.astype("<u4")]
@@ -212,15 +358,15 @@ def _shards(path: str, end_id: int):
             shard, before, size, docs, ids = shard + 1, before + size, 0, [], []
             return out
 
-        for batch in parts:
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(0, len(texts), TEXTS):
-                for doc_id, tokens in zip(own[i : i + TEXTS], encoder.encode([t or "" for t in texts[i : i + TEXTS]], end_id), strict=True):
-                    docs.append(tokens)
-                    ids.append(doc_id)
-                    size += len(tokens)
-                    if size >= SHARD_IDS:
-                        yield written()
+        end = np.array([end_id], dtype=np.uint32)
+        for own, texts in _groups(parts):
+            for doc_id, tokens in zip(own, encoder.encode(texts), strict=True):
+                docs.append(tokens)
+                docs.append(end)
+                ids.append(doc_id)
+                size += len(tokens) + 1
+                if size >= SHARD_IDS:
+                    yield written()
         if docs:
             yield written()
 

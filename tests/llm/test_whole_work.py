@@ -6,6 +6,8 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 
 from tandemql.llm import decontam, licenses, mixing, tokens
 
@@ -123,3 +125,28 @@ def test_an_item_needs_no_more_than_the_worst_offset_leaves():
         for offset in range(decontam.STRIDE):
             held = max(sum(weight[k] for k in set(own[max(0, a - offset) : max(0, a - offset + decontam.PASSAGE)])) for a in range(0, offset + n, decontam.STRIDE))
             assert index.needed[at] <= decontam.THETA * held + 1e-9, (n, offset)
+
+
+def test_pieces_have_the_ids_of_whole_texts():
+    """Texts of spaces, breaks, marks, contractions, letters of several scripts and added tokens, with a small memory."""
+    rnd = random.Random(7)
+    hard = [*"ab s'tredvlmAZ.,!?\n\n \t -_$é中٣1 2  \x1c\x85　\r\x0b\xa0́²Ⅷ ᠎​", "  ", "\0", "<|endoftext|>", "'ll", " 's", "<|"]
+    texts = ["".join(rnd.choice(hard) for _ in range(rnd.randrange(60))) for _ in range(4000)]
+    texts += ["".join(rnd.choice("ab'sl.,\n \t!&") for _ in range(rnd.randrange(40))) for _ in range(4000)]
+    texts += [" ".join("".join(rnd.choice("abcdeéß") for _ in range(rnd.randrange(1, 7))) for _ in range(200)) for _ in range(20)]
+    encoder = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER))
+    assert encoder.cuts
+    whole = encoder.whole.encode_batch(texts, add_special_tokens=False)
+    for size in (len(texts), 700):
+        got = [ids for i in range(0, len(texts), size) for ids in encoder.encode(pa.array(texts[i : i + size], pa.large_string()))]
+        assert [g.tolist() for g in got] == [w.ids for w in whole]
+    assert encoder.encode(pa.array([], pa.large_string())) == []
+
+
+def test_forgotten_pieces_are_learned_again(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    encoder = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER))
+    texts = [f"the word {i} and w{i % 7}x,\nthen abc{chr(97 + i % 26)}" for i in range(300)]
+    got = [ids for i in range(0, 300, 20) for ids in encoder.encode(pa.array(texts[i : i + 20], pa.large_string()))]
+    assert [g.tolist() for g in got] == [w.ids for w in encoder.whole.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.known) < 200
