@@ -2,8 +2,9 @@
 
 Documents are dealt and sorted by id, and encoded. A shard holds the documents of about SHARD_IDS ids.
 In it, pairs of neighbouring symbols that are frequent are replaced by nonterminals, until none is: each
-round counts all pairs, gives the PAIRS_A_ROUND most frequent (at least LEAST_COUNT times) a rule each,
-and replaces their occurrences from left to right, where they overlap the earlier. A run of one symbol counts
+round counts the pairs that may be, gives the PAIRS_A_ROUND most frequent a rule each,
+and replaces their occurrences from left to right, where they overlap the earlier. A pair is frequent if it occurs
+LEAST_COUNT times: a rule takes 8 bytes (two symbols and a length) and saves 2 for each. A run of one symbol counts
 its overlapping pairs, of which every second is replaced. Pairs never reach over
 the end of a document, so each document has a symbol string of its own and can be decoded alone.
 
@@ -70,14 +71,15 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
     empty = np.diff(np.concatenate([[0], ends])) == 0
     rules: list[np.ndarray] = []
     fresh = first
-    table, rank = np.full(SLOTS + 1, -1, dtype=np.int64), np.zeros(SLOTS + 1, dtype=np.uint32)
+    table, rank = np.full(SLOTS, -1, dtype=np.int64), np.zeros(SLOTS, dtype=np.uint32)
+    maybe = np.ones(len(symbols), dtype=bool)  # where a frequent pair may begin: others have been counted, and counts only fall
     while len(symbols) > 1:
-        left, right = symbols[:-1], symbols[1:]
+        maybe &= ~last
+        at = np.flatnonzero(maybe[:-1])
+        left, right = symbols[at], symbols[at + 1]
         slots = _slots(left, right)
-        slots[last[:-1]] = SLOTS
-        counts = np.bincount(slots, minlength=SLOTS + 1)
-        counts[SLOTS] = 0
-        near = np.flatnonzero(counts[slots] >= LEAST_COUNT)  # no frequent pair is elsewhere
+        near = np.flatnonzero(np.bincount(slots, minlength=SLOTS)[slots] >= LEAST_COUNT)  # no frequent pair is elsewhere
+        at, slots = at[near], slots[near]
         pairs = (left[near].astype(np.int64) << 32) | right[near]
         ordered = np.sort(pairs)
         edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(near) else near
@@ -92,21 +94,26 @@ def repair(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, n
         order = np.argsort(kept)  # of pairs in one slot of the table, one has its turn in this round
         slot, chosen = slot[order], chosen[np.sort(kept)]
         table[slot], rank[slot] = chosen, np.arange(len(chosen))
-        near_slots = slots[near]
-        found = table[near_slots] == pairs
+        found = np.flatnonzero(table[slots] == pairs)
         table[slot] = -1
-        hit, numbers = near[found], rank[near_slots[found]]
+        hit, numbers = at[found], rank[slots[found]]
         run = np.flatnonzero(np.concatenate([[True], np.diff(hit) != 1]))
         begun = np.repeat(hit[run], np.diff(np.append(run, len(hit))))
-        own = (hit - begun) % 2 == 0
+        own = np.flatnonzero((hit - begun) % 2 == 0)
         hit, numbers = hit[own], numbers[own]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], axis=1))
         symbols[hit] = np.uint32(fresh) + numbers
         fresh += len(chosen)
         last[hit] = last[hit + 1]
+        maybe[:] = False
+        maybe[at] = True
         stay = np.ones(len(symbols), dtype=bool)
         stay[hit + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        kept = np.flatnonzero(stay)  # numpy takes by numbers faster than by truths
+        symbols, last, maybe = symbols.take(kept), last.take(kept), maybe.take(kept)
+        made = hit - np.arange(len(hit))
+        maybe[made] = True
+        maybe[np.maximum(made - 1, 0)] = True
     finish = np.flatnonzero(last) + 1
     offsets = np.zeros(len(ends) + 1, dtype=np.int64)
     offsets[1:] = np.maximum.accumulate(np.concatenate([[0], finish]))[np.cumsum(~empty)]
@@ -120,10 +127,16 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
+    """How many ids each rule stands for. A pass settles the rules whose parts are settled."""
     out = np.zeros(len(rules), dtype=np.int64)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = (1 if a < first else out[a - first]) + (1 if b < first else out[b - first])
-    return out
+    known = np.ones(first + len(rules), dtype=np.int64)
+    while True:
+        known[first:] = out
+        parts = known[rules]
+        new = np.where((parts > 0).all(axis=1), parts.sum(axis=1), 0)
+        if np.array_equal(new, out):
+            return out
+        out = new
 
 
 class Shard:
@@ -143,19 +156,14 @@ class Shard:
     def _rules_spelled(self) -> np.ndarray:
         """The ids of all nonterminals, one after the other. A rule has only earlier ones in it."""
         if self._spelled is None:
-            out = np.zeros(self._at[-1], dtype=np.int64)
-            at = self._at.tolist()
-            for i, (a, b) in enumerate(self.rules.tolist()):
-                to = at[i]
-                for x in (a, b):
-                    if x < self.first:
-                        out[to] = x
-                        to += 1
-                    else:
-                        j = x - self.first
-                        n = at[j + 1] - at[j]
-                        out[to : to + n] = out[at[j] : at[j + 1]]
-                        to += n
+            out = self.first + np.arange(len(self.rules))
+            while len(rule := np.flatnonzero(out >= self.first)):
+                sizes = np.ones(len(out), dtype=np.int64)
+                sizes[rule] = 2
+                to = np.cumsum(sizes)[rule]
+                parts = self.rules[out[rule] - self.first]
+                out = np.repeat(out, sizes)
+                out[to - 2], out[to - 1] = parts[:, 0], parts[:, 1]
             self._spelled = out
         return self._spelled
 
@@ -278,7 +286,7 @@ class Encoder:
         at = np.array(numbers, dtype=np.int64)[coded.indices.to_numpy()]
         own = self.sizes[at]
         to = np.concatenate([[0], np.cumsum(own)])
-        all_ids = self.ids[np.repeat(self.starts[at] - to[:-1], own) + np.arange(to[-1])]
+        all_ids = self.ids.take(np.repeat(self.starts.take(at) - to[:-1], own) + np.arange(to[-1]))
         return all_ids, to[lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()]
 
     def _forget(self) -> None:
