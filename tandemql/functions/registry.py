@@ -7,6 +7,7 @@ A template names its arguments ``{0}``, ``{1}``, ...; ``{*}`` is all of them. Th
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ class Function:
             raise SqlError(f"{self.name} takes {self.least} to {self.most} arguments, not {len(args)}")
         if callable(self.template):
             return self.template(args, kinds)
-        return self.template.replace("{*}", ", ".join(args)).format(*args) if "{" in self.template else self.template
+        return re.sub(r"\{(\*|\d+)\}", lambda m: ", ".join(args) if m[1] == "*" else args[int(m[1])], self.template)
 
     def result(self, kinds: list[str]) -> str:
         if self.kind.startswith("="):
@@ -200,12 +201,20 @@ class FunctionRegistry:
 
     def __init__(self, dialect: Dialect | str):
         self.dialect = Dialect.of(dialect)
+        self.changes = 0
+        self._own: set[str] = set()
         self._known = {f.name: f for f in (Function(*row) for row in _TABLE) if self.dialect in f.dialects}
 
     def register(self, name: str, least: int, most: int, template: str | None = None, kind: str = "?") -> None:
         """A function of the user's own; without a template, Spark's function of that name."""
+        self.changes += 1
+        self._own.add(name.upper())
         self._known[name.upper()] = Function(name.upper(), least, most, template or f"{name}({{*}})", kind)
 
+    def is_own(self, name: str) -> bool:
+        """Whether a user registered it."""
+        return name.upper() in self._own
+
     def find(self, name: str) -> Function | None:
         return self._known.get(name.upper())
 

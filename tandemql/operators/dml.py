@@ -59,13 +59,13 @@ def upsert(df: DataFrame, new: DataFrame, key: list[str], sets: list[tuple[str,
     return old.unionByName(fresh)
 
 
-def update(df: DataFrame, hit: Column, sets: list[tuple[str, Column]]) -> DataFrame:
-    """One pass of ``when`` per item; ``hit`` is settled before the first."""
+def update(df: DataFrame, hit: Column, sets: list[tuple[str, Column]], mark: str | None = None) -> DataFrame:
+    """One pass of ``when`` per item; ``hit`` is settled before the first, and kept as a column ``mark``."""
     names, marked = df.columns, df.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     types = {f.name: f.dataType for f in df.schema.fields}
     for c, e in sets:
         marked = marked.withColumn(c, F.when(F.col("_hit"), e.cast(types[c])).otherwise(F.col(f"`{c}`")))
-    return marked.select(*names)
+    return marked.select(*names, *([F.col("_hit").alias(mark)] if mark else []))
 
 
 def delete(df: DataFrame, hit: Column) -> DataFrame:

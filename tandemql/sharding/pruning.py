@@ -1,9 +1,20 @@
-"""Which shards a query can need: from ``key = literal`` and ``key IN (literals)`` in its conditions."""
+"""Which shards a statement can need: from ``key = literal`` and ``key IN (literals)`` in its conditions.
+
+A literal counts as the key's values that it equals by the dialect's comparison. Where those can't be told
+exactly (a number beside a text key, a text that is no number below 2**53 beside an integer key, an integer beyond
+64 bits, a key that is neither), nothing is pruned.
+"""
 
 from __future__ import annotations
 
+import re
+from fractions import Fraction
+
+from pyspark.sql.types import DataType, IntegralType, StringType
+
 from tandemql.sharding.shard_map import ShardedTable
 from tandemql.sql import nodes as N
+from tandemql.sql.dialect import Dialect
 
 
 def _conjuncts(node: N.Node | None) -> list[N.Node]:
@@ -34,21 +45,55 @@ def _values(node: N.Node, alias: str, key: str, alone: bool) -> list | None:
     return None
 
 
-def shards_for(query: N.Node, tables: dict[str, ShardedTable]) -> dict[str, set[int]]:
+_NUMBER = r"\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]{1,3})?)"
+
+
+def key_values(value: int | str, key: DataType | None, dialect: Dialect) -> list[int | str] | None:
+    """The values of a key that equal a literal, or None where that isn't known."""
+    if key is None:  # a table without a schema yet: a literal is of the key's type
+        return [value]
+    if isinstance(key, StringType):
+        return [value] if isinstance(value, str) else None
+    if not isinstance(key, IntegralType):
+        return None
+    if isinstance(value, int):
+        return [value] if -(1 << 63) <= value < 1 << 63 else None
+    mysql = dialect is Dialect.MYSQL
+    found = (re.match if mysql else re.fullmatch)(_NUMBER + ("" if mysql else r"\s*"), value)
+    if mysql and value == "":
+        return [0]
+    if not found:
+        return None
+    number = Fraction(found[1])
+    if abs(number) >= 1 << 53:
+        return None  # compared as doubles, several keys may equal it
+    return [int(number)] if number.denominator == 1 else []
+
+
+def shards_for(query: N.Node, tables: dict[str, ShardedTable], dialect: Dialect | str = Dialect.MYSQL) -> dict[str, set[int]]:
     """By table the shards that are needed; a table that is read twice, or without such a condition, isn't there."""
     reads = [n.parts[-1].lower() for n in query.walk() if isinstance(n, N.Table)]
     out: dict[str, set[int]] = {}
-    for select in (n for n in query.walk() if isinstance(n, N.Select) and n.source is not None):
-        direct = _tables(select.source)
+    for node in query.walk():
+        if isinstance(node, N.Select) and node.source is not None:
+            direct = _tables(node.source)
+        elif isinstance(node, N.Update):
+            direct = _tables(node.tables) + (_tables(node.source) if node.source is not None else [])
+        elif isinstance(node, N.Delete):
+            direct = _tables(node.source) + (_tables(node.using) if node.using is not None else [])
+        else:
+            continue
         for table in direct:
             name = table.parts[-1].lower()
             if name not in tables or reads.count(name) > 1:
                 continue
+            sharded = tables[name]
             found: set[int] | None = None
-            for condition in _conjuncts(select.where):
-                values = _values(condition, table.alias or table.parts[-1], tables[name].map.key, len(direct) == 1)
-                if values is not None:
-                    shards = {tables[name].map.route(v) for v in values}
+            for condition in _conjuncts(node.where):
+                literals = _values(condition, table.alias or table.parts[-1], sharded.map.key, len(direct) == 1)
+                values = literals and [key_values(v, sharded.key_type, Dialect.of(dialect)) for v in literals]
+                if values and None not in values:
+                    shards = {sharded.map.route(v) for vs in values for v in vs}
                     found = shards if found is None else found & shards
             if found is not None:
                 out[name] = found

@@ -8,8 +8,11 @@ kinds of a subquery's columns are Spark's own, by analysing its text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql.types import StructType
 
@@ -288,6 +291,9 @@ class Lowering:
             return str(int(n.value or "0", 2)), "int"
         return "NULL", "null"
 
+    def expr_fixed(self, n: N.Fixed, scope: Scope) -> Text:
+        return n.sql, n.kind
+
     def expr_name(self, n: N.Name, scope: Scope) -> Text:
         return ".".join(quote(p) for p in n.parts[-2:]), scope.kind(n.parts)
 
@@ -381,7 +387,14 @@ class Lowering:
         x = self.expr(n.arg, scope)
         word = "NOT IN" if n.negated else "IN"
         if n.query is not None:
-            return f"({x[0]} {word} ({self.query(n.query, scope)}))", "bool"
+            inner = self.query(n.query, scope)
+            y = ("_q._v", self.first_kind)
+            if not ("str" in (x[1], y[1]) and {x[1], y[1]} & NUMERIC):
+                return f"({x[0]} {word} ({inner}))", "bool"
+            if not self.mysql and not x[0].startswith("'"):
+                return "CAST(NULL AS BOOLEAN)", "bool"  # text and numbers don't compare
+            (left, _), (right, _) = self.as_number(x), self.as_number(y)
+            return f"({left} {word} (SELECT {right} FROM ({inner}) AS _q(_v)))", "bool"
         items = [self.expr(i, scope) for i in n.items]
         if all(k in (x[1], "null", "?") or k in NUMERIC and x[1] in NUMERIC for _, k in items):
             return f"({x[0]} {word} ({', '.join(t for t, _ in items)}))", "bool"
@@ -522,5 +535,13 @@ def value_literal(value: object) -> Text:
     if isinstance(value, int):
         return str(value), "int"
     if isinstance(value, float):
-        return f"{value!r}D", "double"
+        return (f"{value!r}D" if math.isfinite(value) else f"CAST('{value}' AS DOUBLE)"), "double"
+    if isinstance(value, Decimal):
+        return f"{value:f}BD", "decimal"
+    if isinstance(value, datetime):
+        return f"TIMESTAMP{'' if value.tzinfo else '_NTZ'} '{value.isoformat(sep=' ')}'", "timestamp"
+    if isinstance(value, date):
+        return f"DATE '{value.isoformat()}'", "date"
+    if isinstance(value, (bytes, bytearray)):
+        return f"X'{bytes(value).hex()}'", "binary"
     return text_literal(str(value)), "str"

@@ -39,6 +39,14 @@ class Literal(Node):
     raw: str
 
 
+@dataclass
+class Fixed(Node):
+    """A value that is settled for a statement, as Spark SQL and its kind; the parser makes none."""
+
+    sql: str
+    kind: str
+
+
 @dataclass
 class Name(Node):
     """A column, perhaps qualified; the last part may be ``*``."""

@@ -33,6 +33,9 @@ class Printer:
 
     # Expressions
 
+    def on_fixed(self, n: N.Fixed) -> str:
+        return n.sql
+
     def on_literal(self, n: N.Literal) -> str:
         return n.raw.upper() if n.kind in ("null", "bool") else n.raw
 

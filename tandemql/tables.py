@@ -17,11 +17,16 @@ CUT_AFTER = 8
 _numbers = itertools.count()
 
 
+def next_number() -> int:
+    return next(_numbers)
+
+
 @dataclass(frozen=True)
 class Version:
     df: DataFrame
     number: int
     depth: int = 0  # versions since the last written one
+    folders: dict[int, tuple[str, ...]] = field(default_factory=dict)  # of a sharded table, by shard
 
 
 @dataclass
@@ -44,18 +49,30 @@ class VersionedTable:
     def columns(self) -> list[tuple[str, str]]:
         return [(f.name, kind_of(f.dataType)) for f in self.df.schema.fields]
 
+    def shaped(self, df: DataFrame) -> DataFrame:
+        """``df`` with the table's columns and types."""
+        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.df.schema.fields])
+
     def put(self, df: DataFrame) -> None:
         """A next version; its lineage is cut by writing it when there are many."""
-        df = df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in self.df.schema.fields])
+        df = self.shaped(df)
         depth = self.version.depth + 1
         if depth >= CUT_AFTER:
             df, depth = materialise(df, f"table-{self.name}"), 0
         self.version = Version(df, next(_numbers), depth)
 
+    def append(self, new: DataFrame) -> None:
+        """A next version with more rows."""
+        self.put(self.df.unionByName(new))
+
+    def only(self, shards: set[int] | None) -> VersionedTable:
+        """The table as a statement changes it that can touch these shards alone."""
+        return self
+
     def view(self) -> str:
         number = self.version.number
         if number not in self._views:
-            self._views[number] = f"_tandemql_{self.name}_{number}"
+            self._views[number] = f"_tandemql_{self.name}_{next(_numbers)}"
             self.df.createOrReplaceTempView(self._views[number])
         return self._views[number]
 

@@ -11,6 +11,8 @@ Snapshot = dict[str, Version]
 
 
 class LocalTransaction:
+    is_distributed = False
+
     def __init__(self, tables: dict[str, VersionedTable]):
         self.tables = tables
         self.autocommit = True
@@ -29,6 +31,10 @@ class LocalTransaction:
             if name in self.tables:
                 self.tables[name].version = version
 
+    def route_dml(self, table: VersionedTable, shards: set[int] | None) -> VersionedTable:
+        """The table as a statement changes it that can touch ``shards`` alone (None: any)."""
+        return table
+
     def begin(self) -> None:
         self.commit()  # an open one is committed first
         self._begun = self._snapshot()

@@ -1,6 +1,7 @@
-"""The log of decisions: a line is on disk before any participant hears of it.
+"""The log of decisions: a record is on disk before any participant hears of it.
 
-Lines are ``COMMIT<tab>id<tab>p1,p2``, ``ROLLBACK<tab>id<tab>p1,p2`` and ``COMPLETE<tab>id``. A decision without
+Records are lines of one local file (DecisionLog), or files of a shared folder with a line each
+(SharedDecisionLog), as stores that a cluster shares can't append. Lines are ``COMMIT<tab>id<tab>p1,p2``, ``ROLLBACK<tab>id<tab>p1,p2`` and ``COMPLETE<tab>id``. A decision without
 COMPLETE is in doubt. Compaction writes the decisions in doubt to a new file that replaces the log at once.
 """
 
@@ -10,6 +11,8 @@ import os
 from dataclasses import dataclass
 from pathlib import Path
 
+from tandemql.transactions.shared_files import SharedFiles
+
 
 @dataclass(frozen=True)
 class Decision:
@@ -32,6 +35,11 @@ class DecisionLog:
             f.flush()
             os.fsync(f.fileno())
 
+    def _lines(self) -> list[str]:
+        """Whole lines, in order; a last line that was cut off is no line."""
+        text = self.path.read_text() if self.path.exists() else ""
+        return text.split("\n")[:-1]
+
     def decide(self, kind: str, txn: str, participants: list[str]) -> Decision:
         if kind not in ("COMMIT", "ROLLBACK"):
             raise ValueError(f"no decision {kind}")
@@ -45,10 +53,9 @@ class DecisionLog:
         self._append(f"COMPLETE\t{txn}\n")
 
     def in_doubt(self) -> list[Decision]:
-        """Decisions that aren't complete, in order; a last line that was cut off is no line."""
+        """Decisions that aren't complete, in order."""
         found: dict[str, Decision] = {}
-        text = self.path.read_text() if self.path.exists() else ""
-        for line in text.split("\n")[:-1]:
+        for line in self._lines():
             parts = line.split("\t")
             if parts[0] in ("COMMIT", "ROLLBACK") and len(parts) == 3:
                 found[parts[1]] = Decision(parts[0], parts[1], tuple(p for p in parts[2].split(",") if p))
@@ -63,3 +70,29 @@ class DecisionLog:
             f.flush()
             os.fsync(f.fileno())
         os.replace(fresh, self.path)
+
+
+class SharedDecisionLog(DecisionLog):
+    """A log whose records are numbered files of a folder."""
+
+    def __init__(self, files: SharedFiles, folder: str = "log"):
+        self.files, self.folder = files, folder
+
+    def _names(self) -> list[str]:
+        return [n for n in self.files.names(self.folder) if not n.startswith(".")]
+
+    def _append(self, line: str) -> None:
+        last = max([int(n) for n in self._names()], default=-1)
+        self.files.create(f"{self.folder}/{last + 1:012d}", line)
+
+    def _lines(self) -> list[str]:
+        texts = [self.files.read(f"{self.folder}/{n}") for n in self._names()]
+        return [t[:-1] for t in texts if t.endswith("\n")]
+
+    def compact(self) -> None:
+        """Decisions before their COMPLETE are deleted, so that what a crash leaves is at worst a COMPLETE alone."""
+        open_ids = {d.txn for d in self.in_doubt()}
+        records = [(n, self.files.read(f"{self.folder}/{n}").rstrip("\n").split("\t")) for n in self._names()]
+        for n, parts in sorted(records, key=lambda r: r[1][0] == "COMPLETE"):
+            if len(parts) < 2 or parts[1] not in open_ids:
+                self.files.delete(f"{self.folder}/{n}")
