@@ -176,6 +176,10 @@ _TABLE = [
     ("MAX", 1, 1, "max({0})", "=0"),
     ("STDDEV", 1, 1, "stddev_samp({0})", "double"),
     ("VARIANCE", 1, 1, "var_samp({0})", "double"),
+    ("STDDEV_SAMP", 1, 1, "stddev_samp({0})", "double"),
+    ("STDDEV_POP", 1, 1, "stddev_pop({0})", "double"),
+    ("VAR_SAMP", 1, 1, "var_samp({0})", "double"),
+    ("VAR_POP", 1, 1, "var_pop({0})", "double"),
     ("GROUP_CONCAT", 1, 2, lambda a, k: f"listagg(CAST({a[0]} AS STRING), {a[1] if len(a) > 1 else repr(',')})", "str", MYSQL),
     ("STRING_AGG", 2, 2, "listagg(CAST({0} AS STRING), {1})", "str", PG),
     ("ARRAY_AGG", 1, 1, "collect_list({0})", "array", PG),

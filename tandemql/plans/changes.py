@@ -29,11 +29,7 @@ def dml_insert_values(t: Tables) -> DataFrame:
 
 @registry.query(f"SELECT {N} FROM nation UNION ALL VALUES (30, 'SETLAND', 2), (NULL, NULL, NULL)")
 def dml_insert_set_default(t: Tables) -> DataFrame:
-    return _after(_after_dialect(t), "INSERT INTO nation SET n_nationkey = 30, n_name = 'SETLAND', n_regionkey = 1 + 1", "INSERT INTO nation () VALUES ()")
-
-
-def _after_dialect(t: Tables) -> Tables:
-    return t
+    return _after(t, "INSERT INTO nation SET n_nationkey = 30, n_name = 'SETLAND', n_regionkey = 1 + 1", "INSERT INTO nation () VALUES ()")
 
 
 @registry.query(f"SELECT {N} FROM nation UNION ALL SELECT r_regionkey + 100, upper(r_name), r_regionkey FROM region WHERE r_regionkey > 1")
@@ -103,6 +99,55 @@ def dml_returning(t: Tables) -> DataFrame:
     return session.execute_statement("DELETE FROM nation WHERE n_regionkey = 0 RETURNING n_nationkey, n_name || '?' AS shout").returning
 
 
+def _with_params(t: Tables, *statements: tuple[str, tuple], dialect: str = "mysql") -> DataFrame:
+    session = Session(t.spark, dialect)
+    session.register("nation", t.nation, key="n_nationkey")
+    for sql, params in statements:
+        session.execute(sql, params)
+    return session.execute_query("SELECT * FROM nation")
+
+
+@registry.query("SELECT n_nationkey, CASE WHEN n_nationkey IN (2, 3) THEN 'it''s ?' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def dml_update_params(t: Tables) -> DataFrame:
+    return _with_params(t, ("UPDATE nation SET n_name = ? WHERE n_nationkey = ? OR n_nationkey IN (?, -1)", ("it's ?", 2, 3)))
+
+
+@registry.query("SELECT * FROM nation WHERE n_nationkey <> 4 AND n_regionkey <> 2")
+def dml_delete_params(t: Tables) -> DataFrame:
+    return _with_params(t, ("DELETE FROM nation WHERE n_nationkey = $1 OR n_regionkey = $2", (4, 2)), dialect="postgres")
+
+
+@registry.query("SELECT TRUE AS one_time, TRUE AS stays, TRUE AS recent, count(*) AS n FROM nation")
+def dml_update_now(t: Tables) -> DataFrame:
+    """A statement's clock is read once, and what it stored stays."""
+    session = Session(t.spark, "mysql")
+    session.register("c", t.spark.createDataFrame([], "k long, at timestamp_ntz"))
+    session.register("nation", t.nation)
+    session.execute("INSERT INTO c SELECT n_nationkey, NOW() FROM nation")
+    first = session.execute_query("SELECT MIN(at) FROM c").first()[0]
+    return session.execute_query(
+        "SELECT COUNT(DISTINCT at) = 1 AS one_time, MAX(at) = ? AS stays, DATEDIFF(NOW(), MIN(at)) < 2 AS recent, COUNT(*) AS n FROM c", (first,)
+    )
+
+
+@registry.query("SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'see `nation`.n_name' WHEN 2 THEN '{0} {x} {*}' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def dml_literal_text(t: Tables) -> DataFrame:
+    return _after(t, "UPDATE nation SET n_name = 'see `nation`.n_name' WHERE nation.n_nationkey = 1", "UPDATE nation SET n_name = COALESCE('{0} {x} {*}', 'y') WHERE n_nationkey = 2")
+
+
+@registry.query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN 'A' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 3")
+def dml_with(t: Tables) -> DataFrame:
+    return _after(
+        t, "WITH a AS (SELECT r_regionkey AS k FROM region WHERE r_regionkey = 1) UPDATE nation SET n_name = 'A' WHERE n_regionkey IN (SELECT k FROM a)",
+        "WITH b AS (SELECT r_regionkey AS k FROM region WHERE r_regionkey = 3) DELETE FROM nation WHERE n_regionkey IN (SELECT k FROM b)",
+    )
+
+
+@registry.query("SELECT n_nationkey, CASE WHEN n_nationkey = 2 THEN 'E' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def dml_execute(t: Tables) -> DataFrame:
+    return _with_params(t, ("PREPARE p FROM 'UPDATE nation SET n_name = ? WHERE n_nationkey = ?'", ()), ("SET @n = 'E', @k = 2", ()), ("EXECUTE p USING @n, @k", ()))
+
+
 @registry.query("SELECT * FROM nation")
 def txn_rollback(t: Tables) -> DataFrame:
     return _after(t, "BEGIN", "DELETE FROM nation WHERE n_regionkey = 1", "UPDATE nation SET n_name = 'x'", "ROLLBACK")
@@ -119,13 +164,12 @@ def txn_savepoint(t: Tables) -> DataFrame:
 @registry.query(f"SELECT {N} FROM nation UNION ALL VALUES (60, 'TWO', 1)")
 def txn_two_phase(t: Tables) -> DataFrame:
     """Two shards written in one two-phase commit, one more that is rolled back, and what the shards hold then."""
-    import tempfile
-
+    from tandemql.storage import fresh_path
     from tandemql.transactions.two_phase import ShardStore, TwoPhaseTransaction, recover
-    from tandemql.transactions.wal import DecisionLog
+    from tandemql.transactions.wal import SharedDecisionLog
 
-    base = tempfile.mkdtemp(prefix="tandemql-2pc-")  # on a cluster: a folder that is shared
-    store, log = ShardStore(t.spark, f"{base}/shards"), DecisionLog(f"{base}/decisions.log")
+    store = ShardStore(t.spark, fresh_path(t.spark, "two-phase"))
+    log = SharedDecisionLog(store.files)
     one = TwoPhaseTransaction(store, log)
     one.write("a", t.nation.where("n_nationkey < 10"))
     one.write("b", t.nation.where("n_nationkey >= 10").unionByName(t.spark.sql("SELECT 60 AS n_nationkey, 'TWO' AS n_name, 1 AS n_regionkey")))

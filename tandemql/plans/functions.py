@@ -139,9 +139,11 @@ def fn_cast(t: Tables) -> DataFrame:
     return _session(t, "part").execute_query("SELECT p_partkey, CAST(p_size AS CHAR) AS s, CAST(p_size AS DOUBLE) AS d, CAST(p_name AS SIGNED) AS n, CAST('12abc' AS DOUBLE) AS lead, CAST(p_retailprice AS DECIMAL(12,1)) AS e FROM part")
 
 
-@registry.query(None)
+@registry.query("SELECT r_name, TRUE AS one_clock, TRUE AS one_day, TRUE AS this_century, TRUE AS text FROM region")
 def fn_now(t: Tables) -> DataFrame:
-    return _session(t, "region").execute_query("SELECT r_name, NOW() AS n, CURRENT_DATE AS d, CURRENT_TIMESTAMP() AS c, CAST(CURTIME() AS CHAR) AS t FROM region")
+    return _session(t, "region").execute_query(
+        "SELECT r_name, NOW() = CURRENT_TIMESTAMP() AS one_clock, DATEDIFF(NOW(), CURRENT_DATE) = 0 AND CURDATE() = CURRENT_DATE AS one_day, YEAR(NOW()) BETWEEN 2024 AND 2100 AS this_century, CHAR_LENGTH(CAST(CURTIME() AS CHAR)) >= 8 AS text FROM region"
+    )
 
 
 @registry.query("SELECT vec_id, embedding[1] AS first, embedding[5] AS fifth, NULL::FLOAT AS beyond, [1, 2, 3][2] AS lit, CAST(len(embedding) AS BIGINT) AS n FROM embeddings")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+NAMES = "region nation customer supplier part orders lineitem events".split()
+
+
 class Tables:
     """The tables of a data folder as attributes, read when asked for."""
 
@@ -19,13 +23,23 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-
     def sql(self, text: str) -> DataFrame:
         """Spark SQL with tables as ``{orders}``."""
         names = {name for _, name, _, _ in string.Formatter().parse(text) if name}
         return self.spark.sql(text, **{n: getattr(self, n) for n in names})
 
 
+def through_session(t: Tables, dialect: str, sql: str, params: tuple = ()) -> DataFrame:
+    """A query by the engine's own parser and lowering, over the tables that it names."""
+    from tandemql.session import Session
+
+    session = Session(t.spark, dialect)
+    for table in NAMES:
+        if re.search(rf"\b{table}\b", sql, re.IGNORECASE):
+            session.register(table, getattr(t, table))
+    return session.execute_query(sql, params)
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -11,43 +11,23 @@ from tandemql.plans.registry import Registry, Tables
 registry = Registry()
 
 
-@registry.query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 100")
-def sort_multi(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey").limit(100)
-
-
-@registry.query("SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey LIMIT 50")
-def sort_nulls(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s")).orderBy(F.asc_nulls_first("s"), "o_orderkey").limit(50)
-
-
-@registry.query("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
-def sort_not_projected(t: Tables) -> DataFrame:
-    return t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").limit(20).select("c_name")
-
-
-@registry.query("SELECT p_partkey, p_retailprice / p_size AS unit FROM part ORDER BY unit DESC, 1 LIMIT 30")
-def sort_alias(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", (F.col("p_retailprice") / F.col("p_size")).alias("unit")).orderBy(F.desc("unit"), "p_partkey").limit(30)
-
-
 @registry.query("SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
-def sort_multi_whole(t: Tables) -> DataFrame:
+def sort_multi(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey")
 
 
 @registry.query("SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS s FROM orders ORDER BY s ASC NULLS FIRST, o_orderkey")
-def sort_nulls_whole(t: Tables) -> DataFrame:
+def sort_nulls(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("s")).orderBy(F.asc_nulls_first("s"), "o_orderkey")
 
 
 @registry.query("SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
-def sort_not_projected_whole(t: Tables) -> DataFrame:
+def sort_not_projected(t: Tables) -> DataFrame:
     return t.customer.orderBy(F.desc("c_acctbal"), "c_custkey").select("c_name")
 
 
 @registry.query("SELECT p_partkey, p_retailprice / p_size AS unit FROM part ORDER BY unit DESC, 1")
-def sort_alias_whole(t: Tables) -> DataFrame:
+def sort_alias(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", (F.col("p_retailprice") / F.col("p_size")).alias("unit")).orderBy(F.desc("unit"), "p_partkey")
 
 
@@ -80,11 +60,22 @@ def distinct_rows(t: Tables) -> DataFrame:
     return t.customer.select(F.nullif("c_mktsegment", F.lit("BUILDING")).alias("s"), "c_nationkey").distinct()
 
 
-C, SUP = "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 200", "SELECT s_nationkey AS k FROM supplier WHERE s_suppkey < 60"
+@registry.query("(SELECT n_name AS x FROM nation UNION SELECT r_name FROM region) ORDER BY x DESC LIMIT 6")
+def setop_order_limit(t: Tables) -> DataFrame:
+    return S.union(t.nation.select(F.col("n_name").alias("x")), t.region.select("r_name")).orderBy(F.desc("x")).limit(6)
+
+
+# Every customer and supplier takes part; NULLIF keeps each difference from being empty.
+C, SUP = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
+SUP_BUT_3 = "SELECT NULLIF(s_nationkey, 3) AS k FROM supplier"
 
 
 def _sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.customer.where("c_custkey < 200").select(F.col("c_nationkey").alias("k")), t.supplier.where("s_suppkey < 60").select(F.col("s_nationkey").alias("k"))
+    return t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
+
+
+def _but_3(t: Tables) -> DataFrame:
+    return t.supplier.select(F.nullif("s_nationkey", F.lit(3)).alias("k"))
 
 
 @registry.query(f"{C} UNION ALL {SUP}")
@@ -107,9 +98,9 @@ def intersect_all(t: Tables) -> DataFrame:
     return S.intersect(*_sides(t), all_rows=True)
 
 
-@registry.query("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 20")
+@registry.query(f"SELECT n_nationkey AS k FROM nation EXCEPT {SUP_BUT_3}")
 def except_(t: Tables) -> DataFrame:
-    return S.except_(t.nation.select(F.col("n_nationkey").alias("k")), t.supplier.where("s_suppkey < 20").select("s_nationkey"))
+    return S.except_(t.nation.select(F.col("n_nationkey").alias("k")), _but_3(t))
 
 
 @registry.query(f"{C} EXCEPT ALL {SUP}")
@@ -122,74 +113,11 @@ def intersect_all_filter_mode(t: Tables) -> DataFrame:
     return S.intersect(*_sides(t), all_rows=True, bags=False)
 
 
-@registry.query(f"SELECT * FROM ({C}) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT s_nationkey AS k FROM supplier WHERE s_suppkey < 20) b WHERE a.k IS NOT DISTINCT FROM b.k)")
+@registry.query(f"SELECT * FROM ({C}) a WHERE NOT EXISTS (SELECT 1 FROM ({SUP_BUT_3}) b WHERE a.k IS NOT DISTINCT FROM b.k)")
 def except_all_filter_mode(t: Tables) -> DataFrame:
-    return S.except_(_sides(t)[0], t.supplier.where("s_suppkey < 20").select(F.col("s_nationkey").alias("k")), all_rows=True, bags=False)
-
-
-@registry.query("SELECT r_regionkey AS k FROM region UNION SELECT n_nationkey FROM nation INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30")
-def setop_precedence(t: Tables) -> DataFrame:
-    return t.sql("SELECT r_regionkey AS k FROM {region} UNION SELECT n_nationkey FROM {nation} INTERSECT SELECT s_nationkey FROM {supplier} WHERE s_suppkey < 30")
-
-
-@registry.query("(SELECT n_name AS x FROM nation UNION SELECT r_name FROM region) ORDER BY x DESC LIMIT 6")
-def setop_order_limit(t: Tables) -> DataFrame:
-    return S.union(t.nation.select(F.col("n_name").alias("x")), t.region.select("r_name")).orderBy(F.desc("x")).limit(6)
-
-
-# The same operations over whole tables. Every customer and supplier takes part; NULLIF keeps each difference from being empty.
-WHOLE_C, WHOLE_SUP = "SELECT c_nationkey AS k FROM customer", "SELECT s_nationkey AS k FROM supplier"
-WHOLE_SUP_BUT_3 = "SELECT NULLIF(s_nationkey, 3) AS k FROM supplier"
-
-
-def _whole_sides(t: Tables) -> tuple[DataFrame, DataFrame]:
-    return t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k"))
-
-
-def _whole_but_3(t: Tables) -> DataFrame:
-    return t.supplier.select(F.nullif("s_nationkey", F.lit(3)).alias("k"))
-
-
-@registry.query(f"{WHOLE_C} UNION ALL {WHOLE_SUP}")
-def union_all_whole(t: Tables) -> DataFrame:
-    return S.union(*_whole_sides(t), all_rows=True)
-
-
-@registry.query(f"{WHOLE_C} UNION {WHOLE_SUP}")
-def union_distinct_whole(t: Tables) -> DataFrame:
-    return S.union(*_whole_sides(t))
-
-
-@registry.query(f"{WHOLE_C} INTERSECT {WHOLE_SUP}")
-def intersect_whole(t: Tables) -> DataFrame:
-    return S.intersect(*_whole_sides(t))
-
-
-@registry.query(f"{WHOLE_C} INTERSECT ALL {WHOLE_SUP}")
-def intersect_all_whole(t: Tables) -> DataFrame:
-    return S.intersect(*_whole_sides(t), all_rows=True)
-
-
-@registry.query(f"SELECT n_nationkey AS k FROM nation EXCEPT {WHOLE_SUP_BUT_3}")
-def except_whole(t: Tables) -> DataFrame:
-    return S.except_(t.nation.select(F.col("n_nationkey").alias("k")), _whole_but_3(t))
-
-
-@registry.query(f"{WHOLE_C} EXCEPT ALL {WHOLE_SUP}")
-def except_all_whole(t: Tables) -> DataFrame:
-    return S.except_(*_whole_sides(t), all_rows=True)
-
-
-@registry.query(f"SELECT * FROM ({WHOLE_C}) a WHERE EXISTS (SELECT 1 FROM ({WHOLE_SUP}) b WHERE a.k IS NOT DISTINCT FROM b.k)")
-def intersect_all_filter_mode_whole(t: Tables) -> DataFrame:
-    return S.intersect(*_whole_sides(t), all_rows=True, bags=False)
-
-
-@registry.query(f"SELECT * FROM ({WHOLE_C}) a WHERE NOT EXISTS (SELECT 1 FROM ({WHOLE_SUP_BUT_3}) b WHERE a.k IS NOT DISTINCT FROM b.k)")
-def except_all_filter_mode_whole(t: Tables) -> DataFrame:
-    return S.except_(_whole_sides(t)[0], _whole_but_3(t), all_rows=True, bags=False)
+    return S.except_(_sides(t)[0], _but_3(t), all_rows=True, bags=False)
 
 
 @registry.query("SELECT r_regionkey AS k FROM region UNION SELECT n_nationkey FROM nation INTERSECT SELECT NULLIF(s_nationkey, 3) FROM supplier")
-def setop_precedence_whole(t: Tables) -> DataFrame:
+def setop_precedence(t: Tables) -> DataFrame:
     return t.sql("SELECT r_regionkey AS k FROM {region} UNION SELECT n_nationkey FROM {nation} INTERSECT SELECT NULLIF(s_nationkey, 3) FROM {supplier}")

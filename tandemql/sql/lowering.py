@@ -9,6 +9,7 @@ kinds of a subquery's columns are Spark's own, by analysing its text.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import date, datetime
@@ -139,6 +140,8 @@ class Lowering:
 
     def query_select(self, node: N.Select, outer: Scope | None) -> str:
         scope = Scope(outer=outer)
+        for ignored in [*node.locks, *[o for o in node.options if o == "SQL_CALC_FOUND_ROWS"]]:
+            warnings.warn(f"{ignored} has no effect", stacklevel=2)
         source = f" FROM {self.source(node.source, scope)}" if node.source else ""
         items = [t for item in node.items for t in self.item(item, scope)]
         first = self._kind_of_item(node.items[0], scope)
@@ -505,6 +508,10 @@ class Lowering:
     def expr_exists(self, n: N.Exists, scope: Scope) -> Text:
         return f"EXISTS ({self.query(n.query, scope)})", "bool"
 
+    def expr_groupingsets(self, n: N.GroupingSets, scope: Scope) -> Text:
+        sets = [f"({', '.join(self.expr(e, scope)[0] for e in s)})" for s in n.sets]
+        return f"{n.kind} ({', '.join(sets)})", "?"
+
     def expr_row(self, n: N.Row, scope: Scope) -> Text:
         if len(n.items) == 1 and not n.keyword:
             sql, kind = self.expr(n.items[0], scope)

@@ -255,6 +255,14 @@ class Tail(Node):
     offset: Node | None = None
 
 
+@dataclass
+class GroupingSets(Node):
+    """ROLLUP, CUBE or GROUPING SETS; each set is a list of expressions."""
+
+    kind: str
+    sets: list[list[Node]]
+
+
 @dataclass
 class Select(Node):
     items: list[Node]

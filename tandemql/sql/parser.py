@@ -226,7 +226,7 @@ class Parser:
         if self.take("WHERE"):
             node.where = self.expr()
         if self.take("GROUP", "BY"):
-            node.group = self.listed(self.expr)
+            node.group = self.listed(self.grouping)
             node.rollup = self.take("WITH", "ROLLUP")
         if self.take("HAVING"):
             node.having = self.expr()
@@ -234,6 +234,28 @@ class Parser:
             node.windows = self.listed(self.named_window)
         return node
 
+    def grouping(self) -> N.Node:
+        if self.sees("GROUPING") and self.ahead(1).upper == "SETS":
+            self.next()
+            self.next()
+            return N.GroupingSets("GROUPING SETS", self.grouping_sets())
+        if self.now.upper in ("ROLLUP", "CUBE") and self.ahead(1).text == "(":
+            return N.GroupingSets(self.next().upper, self.grouping_sets())
+        return self.expr()
+
+    def grouping_sets(self) -> list[list[N.Node]]:
+        self.want("(")
+        sets = self.listed(self.grouping_set)
+        self.want(")")
+        return sets
+
+    def grouping_set(self) -> list[N.Node]:
+        if not self.take("("):
+            return [self.expr()]
+        columns = [] if self.sees(")") else self.listed(self.expr)
+        self.want(")")
+        return columns
+
     def named_window(self) -> tuple[str, N.Window]:
         name = self.identifier()
         self.want("AS")

@@ -179,6 +179,9 @@ class Printer:
         text += f" {self.print(n.into)}" if n.into else ""
         return text + "".join(f" {lock}" for lock in n.locks)
 
+    def on_groupingsets(self, n: N.GroupingSets) -> str:
+        return f"{n.kind} ({', '.join(self.print(s[0]) if len(s) == 1 else f'({self.listed(s)})' for s in n.sets)})"
+
     def on_into(self, n: N.Into) -> str:
         if n.kind == "VARIABLES":
             return "INTO " + ", ".join(f"@{v}" for v in n.variables)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """From ``spark.checkpoint.dir``; a local folder only where that is unset, as in tests."""
+    """From ``spark.checkpoint.dir``; a local folder only where that is unset and everything runs on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = f"file://{tempfile.gettempdir()}/tandemql-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, in the order in which they appear."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """A folder of Parquet files, or one file, as a stream, in the order in which they appear."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
 def windowed(events: DataFrame, *, every: str = "1 hour", slide: str | None = None, late: str = "2 hours", keys: list[str] = ("event_type",)) -> DataFrame:

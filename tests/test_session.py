@@ -10,6 +10,7 @@ from tandemql.session import Session
 from tandemql.sharding.shard_map import ShardedTable, parse_shard_spec
 from tandemql.sql.dialect import SqlError
 
+# Small tables and the answers over them, as the engine that is matched gives them.
 USERS = [(1, "Alice", 25, "Engineering"), (2, "Bob", 30, "Sales"), (3, "Carol", 17, "Engineering"), (4, "Dave", 22, "Sales"), (5, "Eve", 35, "Engineering")]
 ORDERS = [(101, 1, 500), (102, 1, 300), (103, 2, 150), (104, 4, 200)]
 EMPLOYEES = [(1, "Alice", "Engineering", 90000), (2, "Bob", "Engineering", 80000), (3, "Carol", "Sales", 70000), (4, "Dave", "Sales", 70000), (5, "Eve", "Engineering", 95000)]

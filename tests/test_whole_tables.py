@@ -19,20 +19,20 @@ def _rows(spark, sf: str, table: str) -> int:
 @pytest.mark.parametrize("sf", SCALES)
 @pytest.mark.parametrize("name", SETOPS)
 def test_setop_over_whole_tables(spark, sf, name):
-    df = catalogue.QUERIES[f"{name}_whole"](spark, sf)
-    assert_same(df, catalogue.ORACLES[f"{name}_whole"], sf)
+    df = catalogue.QUERIES[f"{name}"](spark, sf)
+    assert_same(df, catalogue.ORACLES[f"{name}"], sf)
     assert df.count() > 0
 
 
 @pytest.mark.parametrize("sf", SCALES)
 def test_union_all_has_every_customer_and_supplier(spark, sf):
-    assert catalogue.QUERIES["union_all_whole"](spark, sf).count() == _rows(spark, sf, "customer") + _rows(spark, sf, "supplier")
+    assert catalogue.QUERIES["union_all"](spark, sf).count() == _rows(spark, sf, "customer") + _rows(spark, sf, "supplier")
 
 
 @pytest.mark.parametrize("sf", SCALES)
 def test_full_join_has_every_supplier_and_customer_and_unmatched_rows(spark, sf):
-    df = catalogue.QUERIES["join_full_whole"](spark, sf)
-    assert_same(df, catalogue.ORACLES["join_full_whole"], sf)
+    df = catalogue.QUERIES["join_full"](spark, sf)
+    assert_same(df, catalogue.ORACLES["join_full"], sf)
     rows = df.collect()
     assert len({r.s_suppkey for r in rows} - {None}) == _rows(spark, sf, "supplier")
     assert len({r.c_custkey for r in rows} - {None}) == _rows(spark, sf, "customer")
@@ -42,22 +42,22 @@ def test_full_join_has_every_supplier_and_customer_and_unmatched_rows(spark, sf)
 @pytest.mark.parametrize("sf", SCALES)
 @pytest.mark.parametrize("name", ["sub_not_in_null", "sql_postgres_filter_window", "sql_count_distinct", "shard_setop"])
 def test_orders_and_customers_whole(spark, sf, name):
-    assert_same(catalogue.QUERIES[f"{name}_whole"](spark, sf), catalogue.ORACLES[f"{name}_whole"], sf)
+    assert_same(catalogue.QUERIES[f"{name}"](spark, sf), catalogue.ORACLES[f"{name}"], sf)
 
 
 @pytest.mark.parametrize("sf", SCALES)
 def test_every_customer_with_orders_is_counted(spark, sf):
     customers = spark.read.parquet(f"{sf}/orders.parquet").select("o_custkey").distinct().count()
-    assert catalogue.QUERIES["sql_count_distinct_whole"](spark, sf).first().n == customers
-    assert catalogue.QUERIES["sql_postgres_filter_window_whole"](spark, sf).count() == customers
-    assert catalogue.QUERIES["shard_setop_whole"](spark, sf).count() == _rows(spark, sf, "customer") + customers
+    assert catalogue.QUERIES["sql_count_distinct"](spark, sf).first().n == customers
+    assert catalogue.QUERIES["sql_postgres_filter_window"](spark, sf).count() == customers
+    assert catalogue.QUERIES["shard_setop"](spark, sf).count() == _rows(spark, sf, "customer") + customers
 
 
 @pytest.mark.parametrize("sf", SCALES)
 @pytest.mark.parametrize("name, table", [("sort_multi", "customer"), ("sort_nulls", "orders"), ("sort_not_projected", "customer"), ("sort_alias", "part")])
 def test_sort_returns_all_rows_in_order(spark, sf, name, table):
-    got = [tuple(r) for r in catalogue.QUERIES[f"{name}_whole"](spark, sf).collect()]
+    got = [tuple(r) for r in catalogue.QUERIES[f"{name}"](spark, sf).collect()]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     assert len(got) == _rows(spark, sf, table)
-    assert got == con.execute(catalogue.ORACLES[f"{name}_whole"]).fetchall()
+    assert got == con.execute(catalogue.ORACLES[f"{name}"]).fetchall()
