@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 from pyspark.sql.window import Window
 
 #: A side is broadcast by request only up to so many rows; beyond, the join shuffles.
@@ -55,16 +56,37 @@ def range_join(left: DataFrame, right: DataFrame, low: Column, high: Column, poi
     return a.join(b, "_bucket").where(point.between(low, high)).drop("_bucket")
 
 
+#: Slices of time that a key's rows are dealt to in an as-of join, so that a hot key is in many tasks.
+ASOF_SLICES = 64
+
+
 def asof_join(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, left_time: str, right_time: str, take: list[str]) -> DataFrame:
     """Each left row with the columns ``take`` of the latest right row of its key that is not after it.
 
-    Both sides are put together and sorted once by key and time; the last right row seen is carried on. That
-    is one shuffle of each side, and no pairs are made. A right row of the same time counts.
+    Both sides are put together, dealt by key and slice of time, and sorted; the last right row seen is carried on.
+    Where a slice has none yet, it is the last one of the key's earlier slices, of which there are ASOF_SLICES at
+    most per key. That is one shuffle of each side and a small one of the slices' last rows, and no pairs are made.
+    A right row of the same time counts. A null key or time meets nothing.
     """
     own = [F.col(c) for c in left.columns]
     told = F.struct(*[F.col(c) for c in take])
     a = left.select(F.col(left_key).alias("_k"), F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.struct(*own).alias("_row"))
-    b = right.select(F.col(right_key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), told.alias("_found"))
-    w = Window.partitionBy("_k").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_found", ignorenulls=True).over(w))
-    return both.where("_side = 1").select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in take])
+    b = right.select(F.col(right_key).alias("_k"), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), told.alias("_found")).where("_k IS NOT NULL AND _t IS NOT NULL")
+    timed = isinstance(right.schema[right_time].dataType, (DateType, TimestampType, TimestampNTZType))
+    number = (F.col("_t").cast("timestamp") if timed else F.col("_t")).cast("double")
+    ends = b.agg(F.min(number).alias("low"), F.max(number).alias("high")).first()  # two numbers
+    low, high = ends["low"] or 0.0, ends["high"] or 0.0
+    width = (high - low) / ASOF_SLICES or 1.0
+    place = F.least(F.greatest(F.floor((number - low) / width), F.lit(0)), F.lit(ASOF_SLICES - 1))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("_slice", F.coalesce(place, F.lit(0)).cast("int"))
+    within = Window.partitionBy("_k", "_slice").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("_last", F.last("_found", ignorenulls=True).over(within)).where("_side = 1")
+    ordered = Window.partitionBy("_k").orderBy("_slice")
+    sliced = b.withColumn("_slice", place.cast("int")).groupBy("_k", "_slice").agg(F.max_by("_found", "_t").alias("_end"))
+    spans = sliced.withColumn("_next", F.coalesce(F.lead("_slice").over(ordered), F.lit(ASOF_SLICES)))
+    # A slice's last row holds for the key's later slices, up to and with the next that has one.
+    last = ASOF_SLICES - 1
+    later = F.explode(F.expr(f"sequence(_slice + 1, least(_next, {last}))")).alias("_slice")
+    carried = spans.where(F.col("_slice") < last).select("_k", later, F.col("_end").alias("_before"))
+    seen = seen.join(carried, ["_k", "_slice"], "left").withColumn("_last", F.coalesce("_last", "_before"))
+    return seen.select("_row.*", *[F.col(f"_last.{c}").alias(c) for c in take])

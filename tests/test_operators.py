@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,26 @@ def test_asof_join_without_matches(spark):
     assert {(r.v, r.w) for r in got.collect()} == {("a", "y"), ("b", None), ("c", None)}
 
 
+def test_asof_join_of_a_hot_key(spark):
+    """Random rows, two thirds of them of one key, with ties, nulls and gaps, against looking back one by one."""
+    rnd = random.Random(3)
+    key = lambda: rnd.choice([1, 1, 1, 1, 2, 3, None])
+    lefts = [(i, key(), rnd.choice([None, *range(-20, 400)])) for i in range(600)]
+    lefts = [(i, k, None if t is None else float(t)) for i, k, t in lefts]
+    taken = {(key(), rnd.choice([None, *range(0, 300, 7)])) for _ in range(150)}
+    rights = [(k, None if t is None else float(t), n) for n, (k, t) in enumerate(sorted(taken, key=repr))]
+    left = spark.createDataFrame(lefts, "i long, k long, t double")
+    right = spark.createDataFrame(rights, "rk long, rt double, n long")
+    got = relational.asof_join(left, right, left_key="k", right_key="rk", left_time="t", right_time="rt", take=["n"])
+    want = set()
+    for i, k, t in lefts:
+        past = [(rt, n) for rk, rt, n in rights if None not in (rk, rt, k, t) and rk == k and rt <= t]
+        want.add((i, max(past)[1] if past else None))
+    assert {(r.i, r.n) for r in got.collect()} == want and got.count() == 600
+    empty = relational.asof_join(left, right.limit(0), left_key="k", right_key="rk", left_time="t", right_time="rt", take=["n"])
+    assert empty.where("n IS NOT NULL").count() == 0 and empty.count() == 600
+
+
 def test_set_operations(spark):
     a, b = spark.sql("SELECT * FROM VALUES (1), (1), (2), (NULL) AS t(x)"), spark.sql("SELECT * FROM VALUES (1), (NULL), (3) AS t(y)")
     values = lambda df: sorted((r[0] for r in df.collect()), key=str)
