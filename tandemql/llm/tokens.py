@@ -51,9 +51,9 @@ LEAST_COUNT = 8
 #: Slots of the table that pairs are looked up in.
 SLOTS = 1 << 17
 #: Bytes of texts that are encoded at a time, or one text if that is longer.
-GROUP_BYTES = 1 << 23
-#: Pieces whose ids a worker remembers, beside those of the texts at hand.
-REMEMBERED = 1 << 19
+GROUP_BYTES = 3 << 21
+#: Pieces whose ids a worker remembers, some 50 bytes each.
+REMEMBERED = 1 << 20
 #: Pieces that are given to the library in one text.
 TOGETHER = 100
 
@@ -213,7 +213,7 @@ class Encoder:
     Where the vocabulary is byte-level BPE with the usual pattern, texts are cut at places where that pattern
     cuts in any case: before a space that a non-space follows, around a single line break, and between a letter
     and a mark of ASCII. The library encodes each different piece of many texts once, and its ids are remembered
-    for up to REMEMBERED pieces. Texts with a zero character or an added token, and all texts of other
+    for up to REMEMBERED pieces, which are found by two 64-bit hashes with weights drawn by the process. Texts with a zero character or an added token, and all texts of other
     vocabularies, go through the library whole.
     """
 
@@ -274,57 +274,94 @@ class Encoder:
         """(all ids, where the second and later texts' begin)."""
         lists = self._cut(texts)
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        known = self.known
-        numbers = list(map(known.get, pieces))
-        if None in numbers:
-            self.again[[n for n in numbers if n is not None]] = True
-            self._learn([p for p, n in zip(pieces, numbers, strict=True) if n is None])
-            numbers = [known[p] if n is None else n for p, n in zip(pieces, numbers, strict=True)]
-        at = np.array(numbers, dtype=np.int64)[coded.indices.to_numpy()]
-        own = self.sizes[at]
+        pieces = coded.dictionary
+        hashes, checks, short = _piece_hashes(pieces)
+        order = np.argsort(hashes)
+        slot = np.searchsorted(self.hashes, hashes[order])
+        had = np.flatnonzero((slot < len(self.hashes)) & short[order])
+        had = had[self.hashes[slot[had]] == hashes[order[had]]]
+        had = had[self.checks[self.numbers[slot[had]]] == checks[order[had]]]
+        new = np.delete(np.arange(len(order)), had)
+        known, number, unknown = order[had], self.numbers[slot[had]], order[new]
+        sizes, starts = np.zeros(len(order), dtype=np.int64), np.zeros(len(order), dtype=np.int64)
+        sizes[known], starts[known] = self.sizes[number], self.starts[number]
+        self.again[number] = True
+        ids, starts[unknown], sizes[unknown] = self._encoded(pieces.take(pa.array(unknown)).to_pylist())
+        starts[unknown] += len(self.ids)
+        flat = np.concatenate([self.ids, ids])
+        at = coded.indices.to_numpy()
+        own = sizes.take(at)
         to = np.concatenate([[0], np.cumsum(own)])
-        all_ids = self.ids.take(np.repeat(self.starts.take(at) - to[:-1], own) + np.arange(to[-1]))
+        all_ids = _gathered(flat, starts.take(at), own)
+        new, unknown = new[short[unknown]], unknown[short[unknown]]
+        self._remember(_gathered(flat, starts[unknown], sizes[unknown]), hashes[unknown], checks[unknown], sizes[unknown], slot[new])
         return all_ids, to[lists.offsets.to_numpy()[1:-1] - lists.offsets[0].as_py()]
 
-    def _forget(self) -> None:
-        """Keep the pieces that came again since they were learned, if they are few enough."""
-        kept = np.flatnonzero(self.again)
-        if len(kept) > REMEMBERED // 2:
-            kept = kept[:0]
-        pieces, sizes = list(self.known), self.sizes[kept]
-        at = np.repeat(self.starts[kept] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        ids = self.ids[at]
-        self._begin()
-        self._add([pieces[i] for i in kept.tolist()], ids, sizes)
-
     def _begin(self) -> None:
-        """``known`` numbers pieces; a number's ids begin at ``starts`` of ``ids``, and are ``sizes`` many."""
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(0, dtype=np.uint32)
-        self.sizes = self.starts = np.zeros(0, dtype=np.int64)
-        self.again = np.zeros(0, dtype=bool)
-
-    def _learn(self, new: list[str]) -> None:
-        """The ids of new pieces. Words that begin with a space stand in lines of TOGETHER, as the library is faster then."""
-        words = [p for p in new if WORD_PIECE(p)] if self.line_break else []
-        if words:
+        """Remembered pieces by number: where their ids begin in ``ids``, how many, and whether they came again; ``hashes`` ascend, with the pieces' ``numbers``."""
+        self.hashes = self.checks = np.zeros(0, dtype=np.uint64)
+        self.numbers = self.starts = self.sizes = np.zeros(0, dtype=np.int64)
+        self.ids, self.again = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=bool)
+
+    def _remember(self, ids: np.ndarray, hashes: np.ndarray, checks: np.ndarray, sizes: np.ndarray, slot: np.ndarray) -> None:
+        """Pieces whose hashes ascend, and belong before ``slot``. When they are too many, those stay that came again, if these are few enough."""
+        self.hashes, self.numbers = np.insert(self.hashes, slot, hashes), np.insert(self.numbers, slot, len(self.sizes) + np.arange(len(hashes)))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.checks, self.sizes, self.ids = (np.concatenate(x) for x in ((self.checks, checks), (self.sizes, sizes), (self.ids, ids)))
+        self.again = np.concatenate([self.again, np.zeros(len(hashes), dtype=bool)])
+        if len(self.hashes) > REMEMBERED:
+            kept = np.flatnonzero(self.again[self.numbers])
+            if len(kept) > REMEMBERED // 2:
+                kept = kept[:0]
+            old = self.numbers[kept]
+            stay = _gathered(self.ids, self.starts[old], self.sizes[old]), self.hashes[kept], self.checks[old], self.sizes[old]
+            self._begin()
+            self._remember(*stay, np.zeros(len(kept), dtype=np.int64))
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each piece's begin, how many). Words that begin with a space stand in lines of TOGETHER, as the library is faster then."""
+        starts, sizes = np.zeros(len(pieces), dtype=np.int64), np.zeros(len(pieces), dtype=np.int64)
+        is_word = np.fromiter((self.line_break is not None and WORD_PIECE(p) is not None for p in pieces), dtype=bool, count=len(pieces))
+        at_words, at_others = np.flatnonzero(is_word), np.flatnonzero(~is_word)
+        ids = np.zeros(0, dtype=np.uint32)
+        if len(at_words):
+            words = [pieces[i] for i in at_words.tolist()]
             lines = ["\n".join(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
             encoded = self.whole.encode_batch_fast(lines, add_special_tokens=False)
             ids = np.concatenate([np.array([*e.ids, self.line_break], dtype=np.uint32) for e in encoded])
             ends = np.flatnonzero(ids == self.line_break)
-            self._add(words, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
-        others = [p for p in new if not WORD_PIECE(p)] if words else new
-        found = self._whole(others)
-        self._add(others, np.concatenate([np.zeros(0, dtype=np.uint32), *found]), np.array([len(x) for x in found], dtype=np.int64))
-
-    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.known.update(zip(pieces, range(len(self.sizes), len(self.sizes) + len(pieces)), strict=True))
-        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.again = np.concatenate([self.again, np.zeros(len(pieces), dtype=bool)])
+            sizes[at_words] = np.diff(ends, prepend=-1) - 1
+            starts[at_words] = ends - sizes[at_words]
+        found = self._whole([pieces[i] for i in at_others.tolist()])
+        sizes[at_others] = [len(x) for x in found]
+        starts[at_others] = len(ids) + np.cumsum(sizes[at_others]) - sizes[at_others]
+        return np.concatenate([ids, *found]), starts, sizes
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The slices of ``flat`` that begin at ``starts``, one after the other."""
+    to = np.cumsum(sizes)
+    return flat.take(np.repeat(starts - (to - sizes), sizes) + np.arange(to[-1] if len(to) else 0))
+
+
+#: Bytes of the longest piece that is remembered.
+LONG = 256
+_WEIGHTS = np.frombuffer(os.urandom(2 * 8 * LONG), dtype=np.uint64).reshape(2, LONG) | np.uint64(1)
+
+
+def _piece_hashes(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text, sums of its bytes by random weights of their places, and which are no longer than LONG bytes."""
+    _, offsets, data = pieces.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[pieces.offset : pieces.offset + len(pieces) + 1] if len(pieces) else np.zeros(1, dtype=np.int64)
+    sizes = np.diff(offsets)
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1) if data is not None else np.zeros(0, dtype=np.uint64)
+    ends = offsets - offsets[0]
+    place = np.minimum(np.arange(len(raw)) - np.repeat(ends[:-1], sizes), LONG - 1)
+    both = []
+    for weights in _WEIGHTS:
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(raw * weights.take(place), dtype=np.uint64)])
+        both.append(sums[ends[1:]] - sums[ends[:-1]])
+    return both[0], both[1], sizes <= LONG
 
 
 def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:

@@ -149,4 +149,7 @@ def test_forgotten_pieces_are_learned_again(monkeypatch):
     texts = [f"the word {i} and w{i % 7}x,\nthen abc{chr(97 + i % 26)}" for i in range(300)]
     got = [ids for i in range(0, 300, 20) for ids in encoder.encode(pa.array(texts[i : i + 20], pa.large_string()))]
     assert [g.tolist() for g in got] == [w.ids for w in encoder.whole.encode_batch(texts, add_special_tokens=False)]
-    assert len(encoder.known) < 200
+    assert len(encoder.hashes) == len(encoder.sizes) <= 50
+    long = ["x" * n + " " + "ab" * n for n in (200, 256, 257, 5000, 5000)] * 2
+    assert [g.tolist() for text in long for g in encoder.encode(pa.array([text], pa.large_string()))] == [w.ids for w in encoder.whole.encode_batch(long, add_special_tokens=False)]
+    assert len(encoder.hashes) <= 50 and sum(encoder.sizes) == len(encoder.ids) < 2000
