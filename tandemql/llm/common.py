@@ -17,6 +17,9 @@ BROADCAST_ROWS = 100_000
 
 SALTS = 32
 
+#: Rows of one key beyond which a join deals them to several tasks.
+HOT_ROWS = 1 << 16
+
 #: Rows of a batch that Python works on.
 BATCH_ROWS = 1000
 
@@ -58,11 +61,12 @@ def unpack_row(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame
 
 
 def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with small batches: rows hold whole texts, of which a batch of the default size is too many."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(run, schema)
+    """``df.mapInArrow`` with batches of BATCH_ROWS rows at most; Spark bounds the bytes of those that it sends."""
+
+    def small(parts):
+        return run(part.slice(i, BATCH_ROWS) for part in parts for i in range(0, max(1, part.num_rows), BATCH_ROWS))
+
+    return df.mapInArrow(small, schema)
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -106,3 +110,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, salt_of: Column) -
     right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt_r"))
     return left.join(right, on).drop("_key", "_salt", "_salt_r")
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows.join(table, key)``, where ``table`` has a row per key and keys of ``rows`` may be hot.
+
+    The rows of a key that has more than HOT_ROWS of them are dealt by a hash of their columns to as many salts as that
+    takes, and only those keys' rows of ``table`` are repeated. Keys are counted with partial sums, so that no task gets a hot one whole.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT_ROWS)
+    hot = materialise(hot.select(key, F.ceil(F.col("_c") / HOT_ROWS).cast("int").alias("_salts")), "hot")
+    if hot.isEmpty():
+        return rows.join(table, key, how)
+    few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = F.broadcast(hot) if few else hot
+    dealt = rows.join(known, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    spread = table.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(spread, [key, "_salt"], how).drop("_salt")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemql.llm.common import map_arrow, materialise
+from tandemql.llm.common import join_hot, map_arrow, materialise
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,9 +58,9 @@ def components(links: DataFrame) -> DataFrame:
             labels = parents.select("node", F.col("parent").alias("label"))
         else:
             step = parents.select(F.col("node").alias("label"), "parent")
-            labels = materialise(labels.join(step, "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
+            labels = materialise(join_hot(labels, step, "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
         pa_, pb = (parents.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab")
-        moved = edges.join(pa_, "a").join(pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        moved = join_hot(join_hot(edges, pa_, "a"), pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
         edges = materialise(map_arrow(moved, _forest, "a long, b long"), "forest")
         rounds += 1
     if labels is None:
@@ -68,4 +68,4 @@ def components(links: DataFrame) -> DataFrame:
     if rounds == 1:
         return labels.withColumnRenamed("label", "component")
     least = labels.groupBy("label").agg(F.least(F.min("node"), F.min("label")).alias("component"))
-    return labels.join(least, "label").select("node", "component")
+    return join_hot(labels, least, "label").select("node", "component")

@@ -18,8 +18,9 @@ An item that is retrieved is verified on the document's words around the passage
 long: if these have OVERLAP of the 5-word shingles (all words as one, if fewer) of the question and of the
 answer, or of the whole item, the document is contaminated.
 
-The index is broadcast. A benchmark of more than MAX_ITEMS items or MAX_ITEM_WORDS words is dealt by hash to
-parts of half of that, each searched in a pass of its own; statistics (document frequency, mean
+The index travels with the task. A benchmark of more than MAX_ITEMS items or MAX_ITEM_WORDS words is dealt by hash to
+parts of half of that, as the blocks' greatest weights of a part are a dense table; TOGETHER parts are searched in one
+pass over the documents, so that what travels is bounded and passes are few. Statistics (document frequency, mean
 length) are those of all items.
 
 Defined cases: null and empty texts have no passages; null or empty items can't be found; repeated items
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tandemql.llm.common import map_arrow, pick
+from tandemql.llm.common import map_arrow, materialise, pick
 from tandemql.llm.shingles import batches, hash_words, mix
 
 STRIDE = 32
@@ -50,6 +51,8 @@ OVERLAP = 0.8
 SHINGLE = 5
 BLOCK = 8
 MAX_ITEMS, MAX_ITEM_WORDS = 1024, 100_000
+#: Parts of an index that a pass holds, some 3 MB each.
+TOGETHER = 16
 
 _U = np.uint64
 
@@ -257,7 +260,7 @@ def search_batch(index: Index, words: np.ndarray, at: np.ndarray) -> dict[int, d
 FOUND = "doc_id long, item_id long, score double, question double, answer double, whole double, at_word long"
 
 
-def _searching(index: Index):
+def _searching(indexes: list[Index]):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids = part.column(0).to_pylist()
@@ -265,8 +268,9 @@ def _searching(index: Index):
             rows: list[tuple] = []
             for raw in batches(part.column(1).to_pylist()):
                 words, at = hash_words(raw)
-                for i, items in sorted(search_batch(index, words, at).items()):
-                    rows += [(ids[done + i], index.ids[item], *told) for item, told in sorted(items.items())]
+                for index in indexes:
+                    for i, items in sorted(search_batch(index, words, at).items()):
+                        rows += [(ids[done + i], index.ids[item], *told) for item, told in sorted(items.items())]
                 done += len(raw)
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             types = [pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.int64()]
@@ -280,21 +284,25 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return pick(benchmark, item_id="item_id", text="text").where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def _indexes(items: DataFrame, theta: float) -> Iterator[Index]:
-    """Indexes of all items, in parts within the bound; an ordinary benchmark is one part."""
+def _indexes(items: DataFrame, theta: float) -> Iterator[list[Index]]:
+    """Indexes of all items, in parts within the bound, as many together as a pass holds; an ordinary benchmark is one part."""
     n, size = items.agg(F.count(F.lit(1)), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
     parts = 2 * max(math.ceil(n / MAX_ITEMS), math.ceil((size or 0) / MAX_ITEM_WORDS))
     if parts <= 2:
-        yield build_index([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()], theta=theta)
+        yield [build_index([(r.item_id, r.text) for r in items.orderBy("item_id", "text").collect()], theta=theta)]
         return
     word = F.explode(F.array_distinct(F.split(F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " ")), " ")))
-    frequencies = items.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
-    for p in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        rows = [(r.item_id, r.text) for r in own.orderBy("item_id", "text").collect()]  # within the bound
+    dealt = materialise(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int")), "items")
+    frequencies = materialise(dealt.select(word.alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")), "frequencies")
+    for low in range(0, parts, TOGETHER):
+        own = dealt.where((F.col("part") >= low) & (F.col("part") < low + TOGETHER))
+        rows: dict[int, list[tuple[int, str]]] = {}
+        for r in own.orderBy("part", "item_id", "text").collect():  # within the bound of TOGETHER parts
+            rows.setdefault(r.part, []).append((r.item_id, r.text))
         terms = frequencies.join(own.select(word.alias("w")).distinct(), "w").collect()
         keys, _ = hash_words([r.w.encode() for r in terms])
-        yield build_index(rows, theta=theta, df=dict(zip(map(int, keys), (r.c for r in terms), strict=True)), total=n, mean=size / n)
+        df = dict(zip(map(int, keys), (r.c for r in terms), strict=True))
+        yield [build_index(rows[p], theta=theta, df=df, total=n, mean=size / n) for p in sorted(rows)]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", theta: float = THETA) -> DataFrame:
@@ -302,30 +310,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     texts = pick(docs, doc_id=id_col, text=text_col)
     items = _items(benchmark)
     found = None
-    for index in _indexes(items, theta):
-        one = map_arrow(texts, _searching(index), FOUND)
+    for indexes in _indexes(items, theta):
+        one = map_arrow(texts, _searching(indexes), FOUND)
         found = one if found is None else found.unionByName(one)
     return found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", theta: float = THETA) -> DataFrame:
-    """``docs`` without the documents that hold a test item, in one pass over whole rows for each part of the index."""
+    """``docs`` without the documents that hold a test item, in one pass over whole rows for each group of parts of the index."""
     at = docs.columns.index(text_col)
     items = _items(benchmark)
 
-    def keeping(index: Index):
+    def keeping(indexes: list[Index]):
         def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in parts:
                 clean = []
                 for raw in batches(part.column(at).to_pylist()):
                     words, offsets = hash_words(raw)
-                    found = search_batch(index, words, offsets)
+                    found = set().union(*(search_batch(index, words, offsets) for index in indexes))
                     clean += [i not in found for i in range(len(raw))]
                 if clean:
                     yield part.filter(pa.array(clean))
 
         return run
 
-    for index in _indexes(items, theta):
-        docs = map_arrow(docs, keeping(index), docs.schema)
+    for indexes in _indexes(items, theta):
+        docs = map_arrow(docs, keeping(indexes), docs.schema)
     return docs

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandemql.llm.common import map_arrow, materialise, pick
+from tandemql.llm.common import join_hot, map_arrow, materialise, pick
 from tandemql.llm.components import components
 from tandemql.llm.shingles import batches, mix, shingle_sets
 
@@ -159,7 +159,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids with the sizes of their sets and of what these share, written to the shared folder."""
     one = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     two = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
-    joined = pairs.join(one, "b").join(two, "a").select("a", "b", "ea", "eb")
+    joined = join_hot(join_hot(pairs, one, "b"), two, "a").select("a", "b", "ea", "eb")
     return materialise(map_arrow(joined, _overlap, "a long, b long, both long, na long, nb long"), "overlaps")
 
 

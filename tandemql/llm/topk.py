@@ -7,8 +7,15 @@ can't lift a candidate over the query's k-th best score so far, are non-essentia
 postings are traversed, and the others are probed for the candidates that are still competitive, in
 steps, each of which leaves fewer. A candidate that can only tie is kept, as its id may be smaller.
 
-Queries are broadcast in blocks of QUERY_BLOCK vectors, a pass over the candidates each, so what is
-broadcast does not grow with the table. A shard reports k rows a query at most.
+Candidates are packed to shards of SHARD_ROWS vectors and queries to blocks of QUERY_BLOCK, a row of binaries each, which are
+written to the shared folder. Every shard meets every block: that is what an exact search of a stated set of queries
+against all rows takes, and it is done by tasks that each read some shards and some blocks; neither
+goes through the driver. A task carries each query's best k from shard to shard, so that later shards start with a
+threshold, and reports them once; a query's rows of all tasks are merged. A small set of blocks is
+broadcast by Spark, by its own size bound.
+
+Scores are integers. A shard in which a query's score may reach 2**53, beyond which doubles aren't exact, is scored by
+whole numbers without bounds; a score beyond 64 bits is an error.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part; a missing
 component counts as 0; ids that are null take no part; equal scores rank by the smaller id, and repeated
@@ -25,10 +32,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tandemql.llm.common import pick
+from tandemql.llm.common import materialise, pick
 
-QUERY_BLOCK = 2048
-SHARD_ROWS = 4096
+QUERY_BLOCK, SHARD_ROWS = 2048, 4096
 #: Candidates whose full scores set a query's first threshold.
 SEEDS = 64
 FOUND = "query_id long, vec_id long, score long"
@@ -41,28 +47,43 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(fine, F.transform(wide, lambda x: F.floor(F.lit(scale) * x)))
 
 
-def _padded(vectors: list[np.ndarray], dims: int) -> np.ndarray:
-    out = np.zeros((len(vectors), dims))
-    for i, v in enumerate(vectors):
-        out[i, : min(dims, len(v))] = v[:dims]
-    return out
+Best = tuple[np.ndarray, np.ndarray]  # ids and scores, best first
+
+
+def _scored(ids: np.ndarray, vectors: np.ndarray, query_id: int, query: np.ndarray) -> Best:
+    """Everything but the query's own, by whole numbers of any size."""
+    scores = vectors.astype(object) @ query.astype(object)
+    keep = ids != query_id
+    if any(not -(1 << 63) <= x < 1 << 63 for x in scores[keep]):
+        raise OverflowError(f"a score of query {query_id} is beyond 64 bits")
+    return ids[keep], scores[keep].astype(np.int64)
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The shard's best ``k`` for each query, as (query_id, vec_id, score). Scores are exact: integers below 2**53."""
-    order = np.argsort(ids, kind="stable")
-    ids, postings = ids[order], np.ascontiguousarray(vectors[order].T)
+def _merged(one: Best, two: Best, k: int) -> Best:
+    ids, scores = np.concatenate([one[0], two[0]]), np.concatenate([one[1], two[1]])
+    order = np.lexsort((ids, -scores))[:k]
+    return ids[order], scores[order]
+
+
+def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, best: list[Best]) -> None:
+    """Bring each query's best ``k`` so far up to date with the shard's candidates, whose ``ids`` ascend."""
+    whole, postings = vectors, np.ascontiguousarray(vectors.T, dtype=float)
     low, high = postings.min(axis=1), postings.max(axis=1)
-    out = []
-    for q, query in zip(query_ids.tolist(), queries, strict=True):
-        bound = np.maximum(query * low, query * high)
-        terms = np.argsort(-(bound - np.minimum(query * low, query * high)), kind="stable")
+    widest = np.maximum(np.abs(low), np.abs(high))
+    for n, (q, query) in enumerate(zip(query_ids.tolist(), queries, strict=True)):
+        if float(np.abs(query.astype(float)) @ widest) >= 2.0**53:
+            best[n] = _merged(best[n], _scored(ids, whole, q, query), k)
+            continue
+        query = query.astype(float)
+        most, least = np.maximum(query * low, query * high), np.minimum(query * low, query * high)
+        terms = np.argsort(-(most - least), kind="stable")
         weights = query[terms]
-        rest = np.concatenate([np.cumsum(bound[terms][::-1])[::-1], [0.0]])  # what the terms from i on can add
-        own = np.flatnonzero(ids == q)
-        theta = -np.inf
-        if len(ids) - len(own) > k:
-            some = np.setdiff1d(np.arange(min(SEEDS, len(ids))), own, assume_unique=True)
+        rest = np.concatenate([np.cumsum(most[terms][::-1])[::-1], [0.0]])  # what the terms from i on can add
+        begin, end = np.searchsorted(ids, (q, q + 1))
+        own = end - begin
+        theta = float(best[n][1][k - 1]) if len(best[n][1]) == k else -np.inf
+        if not np.isfinite(theta) and len(ids) - own > k:
+            some = np.setdiff1d(np.arange(min(SEEDS, len(ids))), np.arange(begin, end), assume_unique=True)
             if len(some) >= k:
                 theta = np.partition(query @ postings[:, some], -k)[-k]
         # Essential: as many leading terms as it takes until the rest alone can't reach the threshold.
@@ -79,26 +100,29 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
             more = terms[done : done + 8]
             score = score + query[more] @ postings[np.ix_(more, alive)]
             done += len(more)
-            if len(alive) > k and done < len(terms):
-                least = np.partition(score, -k - len(own))[-k - len(own)] if len(alive) > k + len(own) else -np.inf
-                floor_rest = np.minimum(query * low, query * high)[terms[done:]].sum()
-                theta = max(theta, least + floor_rest)
-        keep = ids[alive] != q
-        alive, score = alive[keep], score[keep]
-        best = np.lexsort((ids[alive], -score))[:k]
-        out += [(q, int(ids[alive[i]]), int(score[i])) for i in best]
-    return out
-
-
-def _searching(query_ids: np.ndarray, queries: np.ndarray, k: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
-            dims = max(queries.shape[1], max(map(len, vectors)))
-            wide = np.zeros((len(queries), dims))
-            wide[:, : queries.shape[1]] = queries
-            rows = search_shard(np.array(ids, dtype=np.int64), _padded(vectors, dims), query_ids, wide, k)
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
+            if len(alive) > k + own and done < len(terms):
+                theta = max(theta, np.partition(score, -k - own)[-k - own] + least[terms[done:]].sum())
+        keep = (alive < begin) | (alive >= end)
+        best[n] = _merged(best[n], (ids[alive[keep]], score[keep].astype(np.int64)), k)
+
+
+PACKED = "ids binary, dims int, vectors binary"
+
+
+def _packing(rows: int):
+    """Vectors, ascending by id within a row, as little-endian longs; a missing component is 0."""
+
+    def packed(ids: list[int], vectors: list[np.ndarray]) -> pa.RecordBatch:
+        dims = max(1, max(map(len, vectors)))
+        wide = np.zeros((len(ids), dims), dtype="<i8")
+        for i, v in enumerate(vectors):
+            wide[i, : len(v)] = v
+        own = np.array(ids, dtype="<i8")
+        order = np.argsort(own, kind="stable")
+        cols = [pa.array([own[order].tobytes()], pa.binary()), pa.array([dims], pa.int32()), pa.array([wide[order].tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["ids", "dims", "vectors"])
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
         vectors: list[np.ndarray] = []
         for part in parts:
@@ -107,33 +131,52 @@ def _searching(query_ids: np.ndarray, queries: np.ndarray, k: int):
             for i, vec_id in enumerate(part.column(0).to_pylist()):
                 ids.append(vec_id)
                 vectors.append(values[at[i] : at[i + 1]])
-                if len(ids) == SHARD_ROWS:
-                    yield found(ids, vectors)
+                if len(ids) == rows:
+                    yield packed(ids, vectors)
                     ids, vectors = [], []
         if ids:
-            yield found(ids, vectors)
+            yield packed(ids, vectors)
+
+    return run
+
+
+def _unpacked(ids: bytes, dims: int, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, dtype="<i8"), np.frombuffer(vectors, dtype="<i8").reshape(-1, dims)
+
+
+def _widened(vectors: np.ndarray, dims: int) -> np.ndarray:
+    return np.pad(vectors, ((0, 0), (0, dims - vectors.shape[1]))) if vectors.shape[1] < dims else vectors
+
+
+def _searching(k: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[bytes, tuple[np.ndarray, np.ndarray, list[Best]]] = {}
+        for part in parts:
+            for i in range(part.num_rows):
+                ids, dims, vectors, q_ids, q_dims, q_vectors = (part.column(c)[i].as_py() for c in range(6))
+                if q_ids not in blocks:
+                    none = np.zeros(0, dtype=np.int64)
+                    own, asked = _unpacked(q_ids, q_dims, q_vectors)
+                    blocks[q_ids] = own, asked, [(none, none)] * len(own)
+                own, asked, best = blocks[q_ids]
+                candidates, rows = _unpacked(ids, dims, vectors)
+                wide = max(dims, q_dims)
+                search_shard(candidates, _widened(rows, wide), own, _widened(asked, wide), k, best)
+        for own, _, best in blocks.values():
+            sizes = [len(ids) for ids, _ in best]
+            cols = [np.repeat(own, sizes), np.concatenate([ids for ids, _ in best]), np.concatenate([scores for _, scores in best])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
     return run
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Both tables (vec_id long, terms array<long>); to query_id, rank, vec_id, score. A query is no candidate of its own."""
-    spark = candidates.sparkSession
     usable = candidates.where("vec_id IS NOT NULL AND terms IS NOT NULL").select("vec_id", "terms")
     asked = queries.where("vec_id IS NOT NULL AND terms IS NOT NULL").select("vec_id", "terms").dropDuplicates(["vec_id"])
-    found = spark.createDataFrame([], FOUND)
-    last = None
-    while True:
-        left = asked if last is None else asked.where(F.col("vec_id") > last)
-        block = left.orderBy("vec_id").limit(QUERY_BLOCK).collect()  # at most QUERY_BLOCK rows
-        if not block:
-            break
-        last = block[-1].vec_id
-        vectors = [np.array(r.terms, dtype=float) for r in block]
-        run = _searching(np.array([r.vec_id for r in block], dtype=np.int64), _padded(vectors, max(1, max(map(len, vectors)))), k)
-        found = found.unionByName(usable.mapInArrow(run, FOUND))
-        if len(block) < QUERY_BLOCK:
-            break
+    shards = materialise(usable.mapInArrow(_packing(SHARD_ROWS), PACKED), "shards")
+    blocks = materialise(asked.mapInArrow(_packing(QUERY_BLOCK), PACKED), "blocks").toDF("q_ids", "q_dims", "q_vectors")
+    found = shards.crossJoin(blocks).mapInArrow(_searching(k), FOUND)  # a row per shard and block, of thousands of vectors each
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
