@@ -1,7 +1,8 @@
 """Secret scan: known forms by pattern, and unknown ones by sliding-window Shannon entropy.
 
 Candidate strings are runs of characters that keys are made of, of at least WINDOW characters, with a digit
-and a letter. Over a candidate slides a window of WINDOW characters; its counts are changed by one
+and a letter; in a class, only runs of it with a digit. Long words and names have no digits, and would be spans
+without this rule; a key without one, or shorter than a window, is so found by the known forms only. Over a candidate slides a window of WINDOW characters; its counts are changed by one
 character out and one in, and the sum of c*log2(c), from which the entropy follows, with them. For a
 character class (hex digits, base64, any of the candidate characters) the windows that consist of it are
 held against the class's threshold; overlapping windows above theirs make one span, cut to the candidate.
@@ -75,14 +76,14 @@ def window_entropies(s: str, width: int = WINDOW) -> Iterator[float]:
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(s):
-        n = counts.get(c, 0)
-        total += _TERM[n + 1] - _TERM[n]
-        counts[c] = n + 1
-        if i >= width:
+        if i >= width:  # one out before one in, as a window has ``width`` of a character at most
             out = s[i - width]
             n = counts[out]
             total -= _TERM[n] - _TERM[n - 1]
             counts[out] = n - 1
+        n = counts.get(c, 0)
+        total += _TERM[n + 1] - _TERM[n]
+        counts[c] = n + 1
         if i >= width - 1:
             yield math.log2(width) - total / width
 
