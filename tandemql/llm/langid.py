@@ -2,7 +2,9 @@
 
 Counting: the n-grams of orders 1 to ORDER of the labelled sample's texts, per language, on the executors;
 the driver gets the distinct n-grams with their counts. The sample is bounded: SAMPLE_DOCS documents of
-each language, expected, chosen by a hash of their id. All texts of the sample count whole.
+each language, expected, chosen by a hash of their id, and of these as many as have SAMPLE_CHARS characters together
+(one at least). All texts of the sample count whole. More than MAX_LANGS labels are an error, as a model's size grows
+with their number; the model travels with the task.
 
 Model: for the highest order the discounted counts, for lower orders the discounted continuation counts
 (how many different characters precede), each interpolated with the next lower order; the lowest with a
@@ -33,13 +35,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tandemql.llm.common import map_arrow, pick
+from tandemql.llm.common import map_arrow, materialise, pick
 from tandemql.llm.shingles import mix
 
 ORDER = 4
 DISCOUNT = 0.75
 SAMPLE_DOCS = 300
+SAMPLE_CHARS = 1 << 22
+MAX_LANGS = 500
 EVIDENCE = 60
 REJECT_QUANTILE = 0.999
 REJECT_MARGIN = 1.5
@@ -49,6 +54,7 @@ UNKNOWN = "und"
 CHARACTERS = 1 << 19
 
 _U = np.uint64
+_BASE = _U(0x9E3779B97F4A7C15)
 _PLANE = 0x10000
 
 
@@ -78,7 +84,9 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     keep = np.ones(len(cut), dtype=bool)
     keep[1:] = ~(blank[1:] & (blank[:-1] | ends[:-1]))  # one space of a run; the frame adds its own at the start
     keep[0] = not blank[0]
-    keep[:-1] &= ~(blank[:-1] & ends[1:]) | ~keep[:-1]
+    cut, ends = cut[keep], ends[keep]
+    keep = np.ones(len(cut), dtype=bool)
+    keep[:-1] = ~((cut[:-1] == 0x20) & ends[1:])  # nor is the last of a text's runs, now one space, kept at its end
     cut, ends = cut[keep], ends[keep]
     sizes = np.diff(np.concatenate([[-1], np.flatnonzero(ends)])) - 1
     at = np.concatenate([[0], np.cumsum(sizes + 2)])
@@ -91,12 +99,12 @@ def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(chars: np.ndarray, n: int) -> np.ndarray:
-    """A hash for the n-gram that begins at each character; for n of 3 or less all of its bits are the n-gram's."""
+    """A hash for the n-gram that begins at each character: a polynomial of its characters, mixed."""
     code = chars.astype(np.uint64)
-    rolled = np.zeros(max(0, len(code) - n + 1), dtype=np.uint64)
+    rolled = np.full(max(0, len(code) - n + 1), n, dtype=np.uint64)
     for j in range(n):
-        rolled = (rolled << _U(21)) ^ (rolled >> _U(43)) ^ code[j : j + len(rolled)]
-    return mix(rolled ^ (_U(n) << _U(60)))
+        rolled = rolled * _BASE + code[j : j + len(rolled)]
+    return mix(rolled)
 
 
 def _inside(at: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -243,14 +251,17 @@ def build(counts: dict[str, dict[int, tuple[np.ndarray, np.ndarray, np.ndarray,
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model of all languages in ``docs``; labels that are null, and null texts, don't count."""
     rows = pick(docs, doc_id=id_col, lang=lang_col, text=text_col).where("lang IS NOT NULL AND text IS NOT NULL")
-    per_lang = {r.lang: r.c for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row per language
-    if not per_lang:
+    per_lang = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_docs")), "langs")
+    kinds = per_lang.count()
+    if kinds == 0:
         return build({})
-    share = F.lit(0.0)
-    for lang, c in per_lang.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample_docs / c))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_003)) / 1_000_003
-    sample = rows.where(draw < share)
+    if kinds > MAX_LANGS:
+        raise ValueError(f"{kinds} labels; a model has {MAX_LANGS} at most")
+    drawn = rows.withColumn("_draw", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_003)) / 1_000_003)
+    drawn = drawn.join(F.broadcast(per_lang), "lang").where(F.col("_draw") < sample_docs / F.col("_docs"))
+    before = Window.partitionBy("lang").orderBy("_draw", "doc_id", F.length("text")).rowsBetween(Window.unboundedPreceding, -1)
+    sized = drawn.withColumn("_before", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
+    sample = materialise(sized.where(F.col("_before") < SAMPLE_CHARS).select("doc_id", "lang", "text"), "sample")
     counted = map_arrow(sample.select("lang", "text"), _count, COUNTED)
     table = counted.groupBy("lang", "n", "gram").agg(F.min("context").alias("context"), F.min("shorter").alias("shorter"), F.sum("seen").alias("seen")).toPandas()
     counts: dict = {}
