@@ -31,7 +31,7 @@ MAX_RULES = 1000
 
 RULES: list[tuple[str, str]] = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
-# The small labelled table: label 1 is to be blocked.
+# The small labelled table, written for this: label 1 is to be blocked (link farms, pills, gambling, adult, trackers).
 LABELLED: list[tuple[str, int]] = [
     ("http://spam-farm.example.org/en/728", 1),
     ("https://www.spam-farm.example.com/de/12", 1),
@@ -60,20 +60,20 @@ LABELLED: list[tuple[str, int]] = [
     ("http://ads-track.example.org/fr/840", 1),
     ("https://www.ads-track.example.net/es/29/", 1),
     ("http://ad-tracker.example.com/en/98", 1),
-    ("http://ththre.example.com/fr/825", 0),
-    ("https://m.ththth.example.net/en/25", 0),
-    ("https://thther.example.org/en/685", 0),
-    ("http://therha.example.com/en/676", 0),
-    ("https://therin.example.net/en/770", 0),
-    ("https://blog.tiontion.example.com/en/853/", 0),
-    ("http://blog.ththan.example.net/en/960", 0),
-    ("https://m.therou.example.com/de/474.html", 0),
-    ("https://www.tionsh.example.org/es/671", 0),
-    ("https://blog.tionble.example.com/en/369", 0),
-    ("http://thering.example.com/en/328/", 0),
-    ("https://www.therti.example.org/en/334", 0),
-    ("http://blog.ththon.example.net/fr/65.html", 0),
-    ("https://m.thonth.example.com/de/7", 0),
+    ("https://kitchen.example.com/en/825", 0),
+    ("https://m.railways.example.net/en/25", 0),
+    ("https://orchard.example.org/en/685", 0),
+    ("http://theatre.example.com/en/676", 0),
+    ("https://lantern.example.net/en/770", 0),
+    ("https://blog.mountains.example.com/en/853/", 0),
+    ("http://blog.harbour.example.net/en/960", 0),
+    ("https://m.astronomy.example.com/de/474.html", 0),
+    ("https://www.stations.example.org/es/671", 0),
+    ("https://blog.furniture.example.com/en/369", 0),
+    ("http://nation.example.com/en/328/", 0),
+    ("https://www.thread.example.org/en/334", 0),
+    ("http://blog.another.example.net/fr/65.html", 0),
+    ("https://m.mother.example.com/de/7", 0),
     ("https://www.library.example.org/en/catalogue/12", 0),
     ("http://news.example.com/en/2024/05/article", 0),
     ("https://docs.example.net/de/guide/install", 0),
