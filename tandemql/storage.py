@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """From ``spark.checkpoint.dir``; a local folder only where that is unset and everything runs on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,5 +33,23 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     came before, and a value that is read twice is computed once.
     """
     path = fresh_path(df.sparkSession, what)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """How many tables ``materialise`` has written so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables that ``materialise`` has written since a mark. Frames that read them can't be computed any more."""
+    for path in _written[since:]:
+        delete(spark, path)
+    del _written[since:]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
