@@ -113,17 +113,30 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, salt_of: Column) -
 
 
 def join_hot(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``rows.join(table, key)``, where ``table`` has a row per key and keys of ``rows`` may be hot.
+    """``rows.join(table, key)``, where ``table`` has a row per key and keys of ``rows``, a written table, may be hot.
 
     The rows of a key that has more than HOT_ROWS of them are dealt by a hash of their columns to as many salts as that
-    takes, and only those keys' rows of ``table`` are repeated. Keys are counted with partial sums, so that no task gets a hot one whole.
+    takes, and only those keys' rows of ``table`` are repeated. Keys are counted with partial sums, so that no task gets
+    a hot one whole.
     """
+    if rows.count() <= HOT_ROWS:
+        return rows.join(table, key, how)
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > HOT_ROWS)
-    hot = materialise(hot.select(key, F.ceil(F.col("_c") / HOT_ROWS).cast("int").alias("_salts")), "hot")
+    hot = hot.select(key, F.ceil(F.col("_c") / HOT_ROWS).cast("int").alias("_salts"))
     if hot.isEmpty():
         return rows.join(table, key, how)
+    hot = materialise(hot, "hot")
     few = hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = F.broadcast(hot) if few else hot
-    dealt = rows.join(known, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.col("_salts"))
+    dealt = rows.join(known, key, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)).cast("int")).drop("_salts")
     spread = table.join(known, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
     return dealt.join(spread, [key, "_salt"], how).drop("_salt")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """For an application over tables of long texts: Spark sends Python no more than BATCH_ROWS rows at a time. The operators
+    leave the session's settings alone and work with any."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(name, str(BATCH_ROWS))

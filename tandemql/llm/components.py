@@ -60,7 +60,8 @@ def components(links: DataFrame) -> DataFrame:
             step = parents.select(F.col("node").alias("label"), "parent")
             labels = materialise(join_hot(labels, step, "label", "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
         pa_, pb = (parents.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")) for c in "ab")
-        moved = join_hot(join_hot(edges, pa_, "a"), pb, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        # Of a node as "a" a partition's forest has one link, but a root is "b" of many.
+        moved = join_hot(edges, pb, "b").join(pa_, "a").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
         edges = materialise(map_arrow(moved, _forest, "a long, b long"), "forest")
         rounds += 1
     if labels is None:

@@ -159,7 +159,9 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of ids with the sizes of their sets and of what these share, written to the shared folder."""
     one = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb"))
     two = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea"))
-    joined = join_hot(join_hot(pairs, one, "b"), two, "a").select("a", "b", "ea", "eb")
+    hot = materialise(pairs, "pairs")
+    hubs = join_hot(hot, two, "a").select("a", "b", "ea")
+    joined = hubs.join(one, "b").select("a", "b", "ea", "eb")
     return materialise(map_arrow(joined, _overlap, "a long, b long, both long, na long, nb long"), "overlaps")
 
 

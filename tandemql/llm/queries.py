@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemql.llm import chat, decontam, langid, licenses, mixing, neardup, secrets, tokens, topk, urls
-from tandemql.llm.common import read
+from tandemql.llm import chat, common, decontam, langid, licenses, mixing, neardup, secrets, tokens, topk, urls
 
 MIX_WEIGHTS = [5.0, 2.0, 1.0]
 
 
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    common.small_batches(spark)  # the tables hold whole texts
+    return common.read(spark, sf_dir, table)
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(read(spark, sf_dir, "documents"), MIX_WEIGHTS)
     return plan.select("doc_id", "size", "source_size", "target", "taken")
