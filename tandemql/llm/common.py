@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -61,14 +64,26 @@ def unpack_row(df: DataFrame, names: list[str], **replaced: Column) -> DataFrame
 
 
 def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with batches of BATCH_ROWS rows at most; Spark bounds the bytes of those that it sends."""
+    """``df.mapInArrow`` with batches of BATCH_ROWS rows at most; Spark bounds the bytes of those that it sends.
+
+    Python workers outlive their tasks, so a task gives back the memory that it has freed.
+    """
 
     def small(parts):
-        return run(part.slice(i, BATCH_ROWS) for part in parts for i in range(0, max(1, part.num_rows), BATCH_ROWS))
+        yield from run(part.slice(i, BATCH_ROWS) for part in parts for i in range(0, max(1, part.num_rows), BATCH_ROWS))
+        give_back()
 
     return df.mapInArrow(small, schema)
 
 
+def give_back() -> None:
+    """Return freed memory of Arrow and of the C library, where that can, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with ``name``: its row's rank from 0 in ``order``, without sorting in one task.
 
