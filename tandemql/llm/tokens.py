@@ -51,7 +51,7 @@ LEAST_COUNT = 8
 #: Slots of the table that pairs are looked up in.
 SLOTS = 1 << 17
 #: Bytes of texts that are encoded at a time, or one text if that is longer.
-GROUP_BYTES = 3 << 21
+GROUP_BYTES = 1 << 22
 #: Pieces whose ids a worker remembers, some 50 bytes each.
 REMEMBERED = 1 << 20
 #: Pieces that are given to the library in one text.
